@@ -25,5 +25,6 @@ def test_rows(spark):
     rows = [(1, "hello world", 5, "x"), (1, "hello world", 5, "x"), (2, None, 0, "y"), (3, "", 0, None), (None, "é", 1, "z")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, n_tokens bigint, n_bytes string")
     got = sorted(token_counts(docs, PATH, limit=1).collect(), key=str)
-    assert {(r["doc_id"], r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in got} == {(1, 11, 2, True), (2, 0, 0, False), (3, 0, 0, False), (None, 2, len(sentencepiece.SentencePieceProcessor(model_file=PATH).encode("é")), True)}
+    want = [("1", 11, 2, True), ("1", 11, 2, True), ("2", 0, 0, False), ("3", 0, 0, False), ("None", 2, 1, False)]
+    assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in got) == want
     assert token_counts(docs.limit(0), PATH).count() == 0
