@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import huffman, line_quality, packing, token_counts, warc
+from . import huffman, line_quality, mixing, packing, token_counts, warc
 
-_MODULES = (huffman, line_quality, packing, token_counts, warc)
+_MODULES = (huffman, line_quality, mixing, packing, token_counts, warc)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in _MODULES for name, sql in module.ORACLE.items()}
