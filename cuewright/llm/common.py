@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 SPACES = r"[\x20\x09-\x0D]"
 
 _temporary: list[tuple[SparkSession, str]] = []
+_results: list[str] = []
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +50,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """As written(), for results that release() leaves alone; removed when the process ends."""
+    kept = list(_temporary)
+    path = new_folder(df.sparkSession, label)
+    _temporary[:] = kept
+    _results.append(path)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def release(spark: SparkSession) -> None:
     """Removes the tables written so far; for callers whose results have been stored elsewhere."""
     global _temporary
@@ -69,7 +80,7 @@ def release(spark: SparkSession) -> None:
 def _release_at_exit() -> None:
     import shutil
 
-    for _, path in _temporary:
+    for path in [*_results, *(p for _, p in _temporary)]:
         if path.startswith("file://"):
             shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
 

@@ -249,6 +249,20 @@ def line_quality(docs: DataFrame, field: LineField, id_col: str = "doc_id", text
     return rows.mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
 
 
+def passing(docs: DataFrame, field: LineField, least: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose text scores at least so much."""
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            scores = score_texts([t or "" for t in batch.column(place).to_pylist()], field)
+            yield batch.filter(pa.array(scores >= least))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(column: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 

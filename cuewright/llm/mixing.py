@@ -62,7 +62,7 @@ def lined_up(sized: DataFrame, seed: int) -> DataFrame:
     placed = rows.withColumn("within", F.sum("size").over(in_run) - F.col("size"))
     same = placed["source"].eqNullSafe(before["source"]) & (placed["run"] == before["run"])
     return placed.join(before, same).select(
-        placed["doc_id"], placed["row"], placed["size"], placed["source"], (F.col("within") + F.col("before")).alias("begin")
+        placed["doc_id"], placed["row"], placed["hash"], placed["size"], placed["source"], (F.col("within") + F.col("before")).alias("begin")
     )
 
 
@@ -102,7 +102,7 @@ def _golden(slot: Column) -> Column:
 def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK, seed: int = 17) -> tuple[DataFrame, DataFrame]:
     """(order, documents).
 
-    documents: (doc_id, row, size, source, source_size, target, begin); order: (slot, source, doc_id,
+    documents: (doc_id, row, hash, size, source, source_size, target, begin); order: (slot, source, doc_id,
     row, since, until): the words since..until - 1 of a document that a slot takes, slots in order.
 
     Null texts have size 0, a null source is a source; rows of equal ids are documents of their own
@@ -111,7 +111,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), id_col: str = "do
     spark = docs.sparkSession
     picked = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), F.xxhash64(F.col(text_col)).alias("h"))
     twin = Window.partitionBy("doc_id", "source", "size", "h").orderBy("h")
-    sized = written(picked.select("doc_id", "source", "size", F.xxhash64("h", F.row_number().over(twin)).alias("row")), "sizes")
+    sized = written(picked.select("doc_id", "source", "size", F.col("h").alias("hash"), F.xxhash64("h", F.row_number().over(twin)).alias("row")), "sizes")
     shares = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights)
     shares = written(shares, "shares")
     line = written(lined_up(sized, seed), "line")
@@ -141,6 +141,22 @@ def taken_words(order: DataFrame, listed: DataFrame) -> DataFrame:
     return joined.select(*listed.columns, F.coalesce("n", F.lit(0)).alias("taken"))
 
 
+def repeated_documents(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of docs, with all their columns, each as often as the mix takes it, to the nearest whole.
+
+    Texts without words, of which the mix takes none, stay once.
+    """
+    key = [F.col(id_col).alias("d"), F.col(source_col).alias("s"), F.xxhash64(F.col(text_col)).alias("h")]
+    order, listed = mix(docs, weights, id_col, text_col, source_col)
+    sums = taken_words(order, listed).groupBy("doc_id", "source", "hash").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
+    copies = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int")
+    times = sums.select("doc_id", "source", "hash", copies.alias("copies")).where("copies > 0")
+    marked = docs.select(F.struct(*docs.columns).alias("whole"), *key)
+    same = marked["d"].eqNullSafe(times["doc_id"]) & marked["s"].eqNullSafe(times["source"]) & (marked["h"] == times["hash"])
+    found = marked.join(times, same).select("whole", F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
+    return found.select("whole.*")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken_words(*mix(read(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken")
 

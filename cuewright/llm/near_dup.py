@@ -21,7 +21,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import read, written
@@ -281,6 +281,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, less all but one of each group of near copies.
+
+    The row of a group's least id stays; of rows that repeat an id, one does. Rows without an id stay.
+    """
+    found = near_duplicates(docs, id_col, text_col)
+    marked = written(found.select(F.col(id_col).alias("id"), "kept"), "kept")
+    drop = written(marked.where("NOT kept").select("id").distinct(), "dropped")
+    again = written(marked.where("kept AND id IS NOT NULL").groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"), "repeated")
+    key = F.col(id_col).cast("bigint")
+    stay = docs.join(F.broadcast(drop) if drop.count() <= IDS else drop, key == drop["id"], "left_anti")
+    if again.isEmpty():
+        return stay
+    once = stay.join(again, key == again["id"], "left_anti")
+    order = Window.partitionBy(key).orderBy(F.col(text_col).desc_nulls_last())
+    twice = stay.join(again, key == again["id"], "left_semi").withColumn("place in id", F.row_number().over(order)).where("`place in id` = 1")
+    return once.unionByName(twice.drop("place in id"))
+
+
 def texts_of(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """The texts that occur in pairs, as a table. Up to IDS ids are broadcast; more are joined by a shuffle."""
     ids = written(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "near-ids")
