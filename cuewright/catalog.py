@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import timeline
+from .plans import blocks, joins, speech, timeline
 
-QUERIES = {**timeline.QUERIES}
-ORACLE = {**timeline.ORACLE}
+_PLANS = (timeline, blocks, joins, speech)
+QUERIES = {name: query for plan in _PLANS for name, query in plan.QUERIES.items()}
+ORACLE = {name: sql for plan in _PLANS for name, sql in plan.ORACLE.items()}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.timecode import span
+
 GAP_MS = 6 * 3600 * 1000
 HOLD_MS = 500
 MIN_GAP_MS = 80
@@ -18,12 +20,6 @@ def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def timecode(ms: F.Column) -> F.Column:
-    """HH:MM:SS,mmm of non-negative milliseconds; hours may have more digits."""
-    ms = F.greatest(ms, F.lit(0))
-    return F.format_string("%02d:%02d:%02d,%03d", F.floor(ms / 3600000), F.floor(ms / 60000) % 60, F.floor(ms / 1000) % 60, ms % 1000)
-
-
 def gap_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Silence sessionisation: a new session where the start lies over GAP_MS behind the previous end."""
     order = Window.partitionBy("user_id").orderBy("start_ms", "event_id")
@@ -41,7 +37,7 @@ def hold_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = gap_sessions(spark, sf_dir).select("user_id", "start_ms", end.alias("end_ms"), F.row_number().over(order).alias("pos"), first.alias("origin"))
     return blocks.select(
         "user_id", "pos", (F.col("start_ms") - F.col("origin")).alias("start_ms"), (F.col("end_ms") - F.col("origin")).alias("end_ms")
-    ).withColumn("timecode", F.concat(timecode(F.col("start_ms")), F.lit(" --> "), timecode(F.col("end_ms"))))
+    ).withColumn("timecode", span(F.col("start_ms"), F.col("end_ms")))
 
 
 INTERVALS_SQL = """iv AS (SELECT user_id, event_id, epoch_us(ts)//1000 AS start_ms,
