@@ -16,9 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import word_ids
-from .common import read
+from .common import read, written
 
-#: Open bins of a task, and pieces that a packing task gets on average.
+#: Open bins of a task, and how many pieces a task gets on average: both bound what it holds.
 BINS, ITEMS = 8192, 30_000
 
 
@@ -109,8 +109,8 @@ def best_fit(docs: DataFrame, path: str, end_id: int = 0, size: int = 2048, id_c
     Pieces are dealt by a hash of what they are, so that a task run again places them alike, and
     come longest first within a task, which fills the last gaps with the short ones.
     """
-    cut = pieces(docs, path, end_id, size, id_col, text_col, with_ids)
-    tasks = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cut = written(pieces(docs, path, end_id, size, id_col, text_col, with_ids), "pieces")
+    tasks = max(1, -(-cut.count() // ITEMS))  # each leaves some bins part full: few of them, however many cores there are
     spread = F.pmod(F.xxhash64("id", "piece", "length", "ids_crc32"), F.lit(1 << 30))
     dealt = cut.repartition(tasks, spread).sortWithinPartitions(F.desc("length"), "id", "piece", "ids_crc32")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema) + ", sequence_id bigint, offset bigint"
