@@ -3,7 +3,8 @@
 Pre-tokens of a batch lie in flat numpy arrays with sequence starts (ragged arrays). In each round
 every live sequence applies its own lowest-ranked pair, the leftmost at ties, all sequences at once;
 sequences with no pair left leave the arrays with the count of their surviving symbols. Equal
-pre-tokens are merged once a batch and kept in a bounded cache.
+pre-tokens are merged once a batch and kept in a bounded cache. A long sequence applies its lowest
+pair in all places at once where that can't change the outcome, so its rounds are few.
 
 Pieces never hold a word mark after another character, so the runs ``▁+[^▁]*`` merge on their own;
 long runs are cut further where no piece holds the two neighbouring characters.
@@ -47,6 +48,14 @@ class PieceMerger:
         self.joined = {p[k : k + 2] for p in known for k in range(len(p) - 1)}
         self.of_char = np.full(0x110000, self.width - 1, np.int32)
         self.of_char[[ord(ch) for ch in self.chars]] = list(self.chars.values())
+        # a merge is plain if what it makes can't pair at once into something of its own rank or before it
+        own = np.full(self.width, -1, np.int64)
+        own[self.made] = self.ranks
+        self.plain = np.ones(self.width, bool)
+        for side in (self.keys // self.width, self.keys % self.width):
+            self.plain[side[self.ranks <= own[side]]] = False
+        values, times = np.unique(own[own >= 0], return_counts=True)
+        self.plain &= ~np.isin(own, values[times > 1])
         slot = self._slot(self.keys)
         self.slots = np.full(1 << self.BITS, -1, np.int32)
         self.slots[slot] = np.arange(len(self.keys))
@@ -115,19 +124,36 @@ class PieceMerger:
                 if not live.any():
                     break
             pick = low[live] & ((1 << 34) - 1)
+            if size.max() > self.LONG:
+                pick = self._all_of(pick, low, live, size, rank, merge)
+            sequence = np.searchsorted(starts, pick, "right") - 1
+            last = (starts + size)[sequence] - 1
             symbol[pick] = self.made[merge[pick]]
-            last = (starts + size)[live] - 1
             keep[pick + 1] = False
             after = pick + 2
             inner = after <= last  # the new symbol has a right neighbour
             rank[pick] = BIG >> 34
             rank[pick[inner]], merge[pick[inner]] = self.pairs(symbol[pick[inner]], symbol[after[inner]])
-            left = pick[pick > starts[live]]
+            left = pick[pick > starts[sequence]]
+            left = left[keep[left - 1]]  # else it is the right neighbour of a symbol just made
             rank[left - 1], merge[left - 1] = self.pairs(symbol[left - 1], symbol[left])
             symbol, owner, rank, merge = symbol[keep], owner[keep], rank[keep], merge[keep]
         return counts
 
 
+    #: Longer sequences apply a plain merge in all its places in one round.
+    LONG = 128
+
+    def _all_of(self, pick: np.ndarray, low: np.ndarray, live: np.ndarray, size: np.ndarray, rank: np.ndarray, merge: np.ndarray) -> np.ndarray:
+        """The picks, and where a sequence's is plain all places of its pair that don't overlap, from the left."""
+        plain = np.zeros(len(low), bool)
+        plain[live] = self.plain[self.made[merge[pick]]]
+        place = np.flatnonzero((rank == np.repeat(low >> 34, size)) & np.repeat(plain, size))
+        begins = np.flatnonzero(np.diff(place, prepend=-2) != 1)  # of runs of overlapping places
+        nth = np.arange(len(place)) - np.repeat(begins, np.diff(np.append(begins, len(place))))
+        return np.sort(np.concatenate([pick[~plain[live]], place[nth % 2 == 0]]))
+
+
 _mergers: dict[str, tuple[PieceMerger, WordCache]] = {}
 
 
