@@ -1,18 +1,36 @@
-"""Token ids of whole texts under the word-end BPE tokenizer, word by word through a bounded cache.
+"""Token ids of whole texts under the word-end BPE tokenizer, word by word through bounded caches.
 
 The tokenizer drops white space, and neither its normaliser nor its pre-tokeniser looks across a
-space or line feed, so the ids of a text are those of its space-separated parts in order.
+space or line feed, so the ids of a text are those of its space-separated parts in order. A part is
+looked up by its stem and its trailing punctuation, which are pre-tokens of their own.
 """
 
 from __future__ import annotations
 
 import os
-
-import numpy as np
+from array import array
 
 from .common import WordCache, portions
 
 _caches: dict[str, WordCache] = {}
+#: Trailing characters that are cut off a word; none of them ends a special token.
+TAIL = ".,!%#$&*;:"
+
+
+def stem_and_tail(word: str) -> tuple[str, str]:
+    """The word's two halves whose ids, in order, are the word's.
+
+    The cut lies between a letter or digit and punctuation, where pre-tokens always end. Latin-1 words
+    are lower-cased as the normaliser would; others, which it may compose or fold otherwise, and what
+    may be a special token stay as they are.
+    """
+    if "<|" in word:
+        return word, ""
+    stem = word.rstrip(TAIL)
+    if not stem or stem[-1] >= "\u0100" or not stem[-1].isalnum():
+        stem = word
+    tail = word[len(stem) :]
+    return (stem.lower() if stem.isascii() or max(stem) < "\u0100" else stem), tail
 
 
 def _cache(path: str) -> WordCache:
@@ -23,12 +41,20 @@ def _cache(path: str) -> WordCache:
         tokenizer = Tokenizer.from_file(path)
         tokenizer.no_padding()
         tokenizer.no_truncation()
+        assert array("I").itemsize == 4
+
+        def of_parts(parts: list[str]) -> list[bytes]:
+            return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+
+        stems, tails = WordCache(of_parts, 800_000), WordCache(of_parts)
 
-        def resolve(words: list[str]) -> list[bytes]:
-            found = tokenizer.encode_batch_fast(words, add_special_tokens=False)
-            return [np.array(e.ids, "<u4").tobytes() for e in found]
+        def of_words(words: list[str]) -> list[bytes]:
+            cut = [stem_and_tail(w) for w in words]
+            stems.learn({c[0] for c in cut})
+            tails.learn({c[1] for c in cut})
+            return [stems[s] + tails[t] for s, t in cut]
 
-        _caches[path] = WordCache(resolve)
+        _caches[path] = WordCache(of_words, 500_000)
     return _caches[path]
 
 
