@@ -2,15 +2,16 @@
 
 A text's set is its distinct five-word shingles. Each set gets BANDS x ROWS minima of random
 permutations. Rows of a band are hashed to a band key; texts that share one are candidates. Of each
-minimum the lowest bit is kept; packed into longs, the signatures of two candidates give by bit
-counts an estimate of their similarity, corrected for chance agreement: J = (E - C) / (1 - C) with
-C = 1/2. Candidates whose estimate isn't far below the threshold are confirmed on their full sets.
+minimum BITS bits are kept; packed into longs, the signatures of two candidates give by bit counts
+the share E of equal minima, which corrected for chance agreement estimates their similarity:
+J = (E - C) / (1 - C) with C = 2^-BITS. Candidates whose estimate isn't far below the threshold, and whose
+sets aren't too unequal in size to reach it, are confirmed on their full sets.
 
 Bands of ROWS = 6 and BANDS = 64 miss a pair at similarity 0.75 with probability 4e-6; the slack of
-the estimate is five deviations.
+the estimate is four and a half deviations, 3e-6.
 
 Never all pairs of a group: texts of equal sets are one class from the start. Every class is then
-compared with the least member of each of its band groups, links are confirmed, and components
+compared with one member of each of its band groups, by a hash of its own order in each band, links are confirmed, and components
 formed. Only where a band group then still spans several components, its members outside the
 group's chief component are compared with the others, so no link between components stays unseen
 while the copies that are already joined cost nothing more.
@@ -27,13 +28,24 @@ from pyspark.sql import functions as F
 from .common import read, written
 
 WORDS, ROWS, BANDS, THRESHOLD = 5, 6, 64, 75
-LONGS = ROWS * BANDS // 64
-#: Estimates under this can't be confirmed, but for a chance of 1e-6: threshold less five deviations.
-LEAST = THRESHOLD / 100 - 5 * (1 - THRESHOLD / 100) ** 0.5 * (1 + THRESHOLD / 100) ** 0.5 / (ROWS * BANDS) ** 0.5
+BITS = 2
+#: Minima of the signatures that go with the bands, and of the finer ones where groups stay apart.
+COARSE, FINE = ROWS * BANDS, 1920
+_CHANCE = 0.5**BITS
+
+
+def least_estimate(minima: int) -> float:
+    """Estimates under this can't be confirmed, but for a chance of 3e-6."""
+    equal = THRESHOLD / 100 * (1 - _CHANCE) + _CHANCE
+    return THRESHOLD / 100 - 4.5 * (equal * (1 - equal) / minima) ** 0.5 / (1 - _CHANCE)
+
+
 #: Members of a pivot's verification group: the pivot's set is sent once for so many.
 CHUNK = 64
 #: Ids that may be broadcast, 8 bytes each.
 IDS = 250_000
+#: Edges of one file of a round's table.
+EDGES = 500_000
 
 
 # ---- sets and signatures ------------------------------------------------------------------------
@@ -51,7 +63,7 @@ def word_hashes(text: str) -> np.ndarray:
     if None in found:
         for w in set(words):
             if w not in _words:
-                if len(_words) > 600_000:
+                if len(_words) > 300_000:
                     _words.clear()
                 _words[w] = xxh3_64_intdigest(w)
         found = [get(w) or xxh3_64_intdigest(w) for w in words]
@@ -77,17 +89,17 @@ def shingles(text: str, width: int = WORDS) -> np.ndarray:
 
 
 _rng = np.random.default_rng(20240101)
-_A = (_rng.integers(0, 1 << 32, ROWS * BANDS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)[:, None]
-_B = _rng.integers(0, 1 << 32, ROWS * BANDS, dtype=np.uint64).astype(np.uint32)[:, None]
+_A = (_rng.integers(0, 1 << 32, FINE, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)[:, None]
+_B = _rng.integers(0, 1 << 32, FINE, dtype=np.uint64).astype(np.uint32)[:, None]
 
 
-def minima(found: np.ndarray) -> np.ndarray:
-    """The least value of each permutation over the set."""
+def minima(found: np.ndarray, n: int = COARSE) -> np.ndarray:
+    """The least value of each of n permutations over the set."""
     low = (found ^ (found >> np.uint64(32))).astype(np.uint32)
-    best = np.full(ROWS * BANDS, 0xFFFFFFFF, np.uint32)
+    best = np.full(n, 0xFFFFFFFF, np.uint32)
     for at in range(0, len(low), 1024):
-        x = low[None, at : at + 1024] * _A
-        x += _B
+        x = low[None, at : at + 1024] * _A[:n]
+        x += _B[:n]
         np.minimum(best, x.min(axis=1), out=best)
     return best
 
@@ -99,9 +111,30 @@ def signature(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     keys = np.arange(1, BANDS + 1, dtype=np.uint64)
     for k in range(ROWS):
         keys = _stir(keys + rows[:, k])
-    # multiplication leaves low bits regular; the kept bit is one of a stirred minimum
-    bits = (_stir(best.astype(np.uint64) + np.arange(len(best), dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
-    return keys.view(np.int64), np.packbits(bits).view(">i8").astype(np.int64)
+    return keys.view(np.int64), packed(best)
+
+
+def packed(best: np.ndarray) -> np.ndarray:
+    """BITS bits of each minimum as longs: the first bits of all, then the second ones.
+
+    Multiplication leaves low bits regular, so the bits are those of a stirred minimum.
+    """
+    stirred = _stir(best.astype(np.uint64) + np.arange(len(best), dtype=np.uint64))
+    bits = np.concatenate([(stirred >> np.uint64(k)) & np.uint64(1) for k in range(BITS)]).astype(np.uint8)
+    return np.packbits(bits).view(">i8").astype(np.int64)
+
+
+def fine_signatures(texts: DataFrame) -> DataFrame:
+    """(id, fine): the longer packed signature of each text."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            fine = [packed(minima(shingles(t), FINE)) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fine, pa.list_(pa.int64()))], names=["id", "fine"])
+
+    return texts.select("id", "t").mapInArrow(run, "id bigint, fine array<bigint>").dropDuplicates(["id"])
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -132,30 +165,49 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 # ---- candidates ---------------------------------------------------------------------------------
 
 
-def estimate(a: Column, b: Column) -> Column:
-    """Similarity from the packed bits: agreement corrected for chance."""
-    differ = sum((F.bit_count(F.get(a, k).bitwiseXOR(F.get(b, k))) for k in range(1, LONGS)), F.bit_count(F.get(a, 0).bitwiseXOR(F.get(b, 0))))
-    return 1 - 2 * differ / F.lit(float(64 * LONGS))
+def estimate(a: Column, b: Column, n: int = COARSE) -> Column:
+    """Similarity from the packed bits of n minima: the equal ones, corrected for chance agreement."""
+    plane = n // 64
+
+    def differ(k) -> Column:
+        some = F.get(a, k).bitwiseXOR(F.get(b, k))
+        for j in range(1, BITS):
+            some = some.bitwiseOR(F.get(a, k + j * plane).bitwiseXOR(F.get(b, k + j * plane)))
+        return F.bit_count(some)
+
+    if n == COARSE:
+        unequal = differ(0)
+        for k in range(1, plane):
+            unequal = unequal + differ(k)
+    else:  # a loop: spelled out, it would be too long to compile
+        unequal = F.aggregate(F.sequence(F.lit(0), F.lit(plane - 1)), F.lit(0), lambda held, k: held + differ(k))
+    return (1 - unequal / F.lit(float(n)) - _CHANCE) / (1 - _CHANCE)
+
+
+def fitting(n: Column, m: Column) -> Column:
+    """Whether sets of such sizes can reach the threshold."""
+    return 100 * F.least(n, m) >= THRESHOLD * F.greatest(n, m)
 
 
 def members(classes: DataFrame) -> DataFrame:
-    """(band, id, bits) of each class in each band group of two or more, from (id, bands, bits)."""
+    """(band, id, pivot) of each class in each band group of two or more, from (id, bands)."""
     keys = classes.select("id", F.explode("bands").alias("band"))
-    shared = keys.groupBy("band").agg(F.count("*").alias("n"), F.min("id").alias("least")).where("n > 1")
-    return keys.join(shared, "band").select("band", "id", "least")
+    mixed = F.struct(F.xxhash64("id", "band").alias("h"), F.col("id").alias("id"))
+    shared = keys.groupBy("band").agg(F.count("*").alias("n"), F.min(mixed).alias("m")).where("n > 1")
+    return keys.join(shared, "band").select("band", "id", F.col("m.id").alias("pivot"))
 
 
 def pivot_pairs(groups: DataFrame, bits: DataFrame) -> DataFrame:
-    """(a, b): each class with the least one of each of its groups, as far as the estimate allows."""
-    pairs = groups.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
+    """(a, b, e): each class with the pivot of each of its groups, as far as the estimate e allows."""
+    pairs = groups.where("id <> pivot").select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")).distinct()
     return estimated(pairs, bits)
 
 
 def estimated(pairs: DataFrame, bits: DataFrame) -> DataFrame:
-    left = bits.select(F.col("id").alias("a"), F.col("bits").alias("x"))
-    right = bits.select(F.col("id").alias("b"), F.col("bits").alias("y"))
-    joined = pairs.join(left, "a").join(right, "b")
-    return joined.select("a", "b", estimate(F.col("x"), F.col("y")).alias("e")).where(F.col("e") >= LEAST)
+    left = bits.select(F.col("id").alias("a"), F.col("bits").alias("x"), F.col("n").alias("nx"))
+    right = bits.select(F.col("id").alias("b"), F.col("bits").alias("y"), F.col("n").alias("ny"))
+    joined = pairs.join(left, "a").join(right, "b").where(fitting(F.col("nx"), F.col("ny")))
+    return joined.select("a", "b", estimate(F.col("x"), F.col("y")).alias("e")).where(F.col("e") >= least_estimate(COARSE))
 
 
 # ---- confirmation -------------------------------------------------------------------------------
@@ -207,22 +259,22 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round is a grouped minimum and a join, both spread over ids; rounds are logarithmic.
     """
-    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    state = _state(edges)
-    while True:
+    files = max(1, -(-links.count() // EDGES))
+    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct().coalesce(files), "edges")
+    while not _are_stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        edges = written(small.where("u <> v").distinct(), "edges")
-        before, state = state, _state(edges)
-        if state == before:
-            return edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
+        edges = written(small.where("u <> v").distinct().coalesce(files), "edges")
+    return edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1000003), F.bit_xor(F.xxhash64("u", "v"))).first())
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every id has one edge down or is only reached from above: no id is both or has two."""
+    ends = edges.select(F.col("u").alias("id"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(edges.select(F.col("v").alias("id"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    return ends.groupBy("id").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down > 1 OR (down = 1 AND up = 1)").isEmpty()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
@@ -238,8 +290,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = sketch.where("id IS NOT NULL AND set IS NOT NULL")
     ranked = known.groupBy("set").agg(F.min("id").alias("rep"))
     chosen = ranked.select("set", F.col("rep").alias("id"))
-    classes = written(known.select("id", "set", "bands", "bits").join(chosen, ["id", "set"]).dropDuplicates(["id", "set"]), "classes")
-    bits = classes.select("id", "bits")
+    classes = written(known.select("id", "set", "n", "bands", "bits").join(chosen, ["id", "set"]).dropDuplicates(["id", "set"]), "classes")
+    bits = classes.select("id", "n", "bits")
     groups = written(members(classes), "groups")
 
     def links_of(pairs: DataFrame, found: DataFrame) -> DataFrame:
@@ -253,14 +305,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = written(pivot_pairs(groups, bits), "pivots")
     near = texts_of(texts, pairs)
     # first the likeliest pivot of each, then those that would still join two components
-    best = pairs.groupBy("b").agg(F.max(F.struct("e", (-F.col("a")).alias("a"))).alias("m")).select((-F.col("m.a")).alias("a"), "b")
+    ends = pairs.select("a", "b", "e", F.explode(F.array("a", "b")).alias("id"))
+    best = ends.groupBy("id").agg(F.max(F.struct("e", (-F.col("a")).alias("a"), (-F.col("b")).alias("b"))).alias("m"))
+    best = written(best.select((-F.col("m.a")).alias("a"), (-F.col("m.b")).alias("b")).distinct(), "likeliest")
     links = written(links_of(best, near).unionByName(joined.select("a", "b")), "links")
     roots = components(links)
     rest = across(pairs.join(best, ["a", "b"], "left_anti").select("a", "b"), roots)
     links = written(links.unionByName(links_of(rest, near)), "links")
     roots = components(links)
     tested = pairs.select("a", "b")
-    rest = written(strays(groups, roots, bits).join(tested, ["a", "b"], "left_anti"), "strays")
+    rest = written(strays(groups, roots, bits, texts).join(tested, ["a", "b"], "left_anti"), "strays")
     more = None if rest.isEmpty() else links_of(rest, texts_of(texts, rest))
     if more is not None and not more.isEmpty():
         links = written(links.unionByName(more), "links")
@@ -269,7 +323,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ends = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id")))
     counted = ends.groupBy("id").agg(F.count("*").alias("links"))
     of_class = ranked.join(roots, ranked["rep"] == roots["id"], "left").drop("id").join(counted, F.col("rep") == counted["id"], "left")
-    of_class = of_class.select("set", F.coalesce("root", "rep").alias("component_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    # as a table, so that the join below is one of two plain exchanges, which Spark splits where a class is large
+    of_class = written(of_class.select("set", F.coalesce("root", "rep").alias("component_id"), F.coalesce("links", F.lit(0)).alias("links")), "class-components")
     out = sketch.select("id", "n", "set").join(of_class, "set", "left")
     component = F.when(F.col("id").isNull(), None).otherwise(F.coalesce("component_id", "id"))
     return out.select(
@@ -313,17 +368,29 @@ def across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return joined.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
 
 
-def strays(groups: DataFrame, roots: DataFrame, bits: DataFrame) -> DataFrame:
-    """(a, b): members of a band group outside its chief component with members of other components there."""
+def strays(groups: DataFrame, roots: DataFrame, coarse: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): members of a band group outside its chief component with members of other components there.
+
+    These are told by the finer signatures, so that what can't be a link is seldom sent to confirmation; a
+    pair comes from the first of its common groups alone.
+    """
     rooted = groups.join(roots, "id", "left").select("band", "id", F.coalesce("root", "id").alias("root"))
     parts = rooted.groupBy("band", "root").agg(F.count("*").alias("n"))
     chief = parts.groupBy("band").agg(F.max(F.struct("n", "root")).alias("m"), F.count("*").alias("parts")).where("parts > 1")
-    open_ = rooted.join(chief.select("band", F.col("m.root").alias("chief")), "band")
-    open_ = written(open_.join(bits, "id"), "open")
-    own = open_.where("root <> chief").select("band", F.col("id").alias("s"), F.col("root").alias("rs"), F.col("bits").alias("x"))
-    other = open_.select("band", F.col("id").alias("o"), F.col("root").alias("ro"), F.col("bits").alias("y"), (F.col("root") == F.col("chief")).alias("in_chief"))
-    hit = own.join(other, "band").where((F.col("rs") != F.col("ro")) & (F.col("in_chief") | (F.col("s") < F.col("o"))) & (estimate(F.col("x"), F.col("y")) >= LEAST))
-    return hit.select(F.least("s", "o").alias("a"), F.greatest("s", "o").alias("b")).distinct()
+    open_ = written(rooted.join(chief.select("band", F.col("m.root").alias("chief")), "band"), "open")
+    near = texts_of(texts, open_.select(F.col("id").alias("a"), F.col("id").alias("b")))
+    marks = open_.groupBy("id").agg(F.collect_list("band").alias("bands")).join(fine_signatures(near), "id").join(coarse.dropDuplicates(["id"]), "id")
+    rows = written(open_.join(marks, "id"), "open-marked")
+    names = {"id": "i", "root": "r", "n": "n", "bits": "c", "fine": "f", "bands": "b"}
+    own = rows.where("root <> chief").select(F.col("band").alias("sband"), *[F.col(c).alias(f"s{k}") for c, k in names.items()])
+    other = rows.select("band", (F.col("root") == F.col("chief")).alias("in_chief"), *[F.col(c).alias(f"o{k}") for c, k in names.items()])
+    apart = (F.col("sr") != F.col("or")) & (F.col("in_chief") | (F.col("si") < F.col("oi"))) & fitting(F.col("sn"), F.col("on"))
+    # the short signatures spare most pairs the long ones
+    like = (estimate(F.col("sc"), F.col("oc")) >= least_estimate(COARSE)) & (estimate(F.col("sf"), F.col("of"), FINE) >= least_estimate(FINE))
+    # of a pair without a chief in some of its groups each side is a stray in some: both orders are one
+    first = F.array_min(F.array_intersect("sb", "ob")) == F.col("sband")
+    hit = own.join(other, (F.col("sband") == F.col("band")) & apart & like & first)
+    return hit.select(F.least("si", "oi").alias("a"), F.greatest("si", "oi").alias("b")).distinct()
 
 
 def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
