@@ -278,7 +278,10 @@ def pictures(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
                 out.append(None if image is None else pgm(edited(image, (key or 0) // 100 % 4) if edit else image))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["id", "image"])
 
-    return vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col)).mapInArrow(run, "id bigint, image binary")
+    # drawing costs far more than moving a vector: a small file is spread over all tasks first
+    tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).alias("v")).repartition(tasks, "id")
+    return rows.mapInArrow(run, "id bigint, image binary")
 
 
 def op3_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
