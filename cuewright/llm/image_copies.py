@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import read, written
 
 CORNERS, SCALES = 32, (1.0, 0.75, 0.5625)
-TABLES, KEY_BITS, VOTES, INLIERS = 12, 20, 3, 6
+TABLES, KEY_BITS, VOTES, INLIERS = 12, 20, 3, 8
 NEAR, TOLERANCE = 60, 4.0
 _R = 9  # patch radius
 _rng = np.random.default_rng(9)
