@@ -3,7 +3,10 @@
 Slots are numbered; the point frac(i · φ) of slot i falls into one source's share of the cumulative
 target weights, so that every prefix of the schedule is near the targets. A source's texts, in a
 shuffled order, form one line of words cut into blocks of BLOCK words (the last may be shorter).
-The source's k-th slot takes its k-th block of a pass over the shuffled blocks; passes repeat.
+Passes over the shuffled blocks, a shorter one last in each, form the source's stream. As many words
+of it as the source's target are shared evenly among the slots that the source has, so that each
+source meets its target to the word. A source is given a slot for each BLOCK words of its target,
+and FEW at least: more than the points can miss, so that no source goes without.
 
 Ranks and running sums are taken in two steps, over small runs and then over the totals of the
 runs, so that no source, however large, is summed in one task.
@@ -19,6 +22,8 @@ from .common import SPACES, read, written
 BLOCK, SHARE, MOST = 2048, 1.5, 2
 #: Runs of a source's shuffled line, and slots of a run of the schedule.
 RUNS, SLOTS = 4096, 4096
+#: Least slots of a source.
+FEW = 32
 #: Frac of the golden ratio in units of 2^-62, and primes over any count of blocks.
 GOLDEN = 2850178704830799621
 PRIMES = (2147483629, 2147483587)
@@ -115,20 +120,36 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), id_col: str = "do
     shares = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights)
     shares = written(shares, "shares")
     line = written(lined_up(sized, seed), "line")
-    plan = schedule(spark, shares.where("target > 0").select("source", "target"), block)
-    blocks = shares.select("source", F.ceil(F.col("source_size") / block).alias("m"), (F.abs(F.xxhash64(F.lit(seed), "source")) % 1000003).alias("turn"))
-    plan = plan.join(F.broadcast(blocks), plan["source"].eqNullSafe(blocks["source"])).select("slot", plan["source"], "rank", "m", "turn")
-    # pass p of a source takes its blocks in the order (rank · prime + turn) mod m
-    trip, step = F.floor(F.col("rank") / F.col("m")), F.col("rank") % F.col("m")
+    asked = shares.where("target > 0").select("source", (F.greatest(F.ceil(F.col("target") / block), F.lit(FEW)) * F.lit(float(block))).alias("target"))
+    plan = written(schedule(spark, asked, block), "schedule")
+    counts = plan.groupBy(F.col("source").alias("s")).agg(F.count("*").alias("slots"))
+    streams = shares.join(F.broadcast(counts), shares["source"].eqNullSafe(counts["s"])).select(
+        "s", "slots", F.col("source_size").alias("n"), F.round("target").cast("bigint").alias("words"), (F.abs(F.xxhash64(F.lit(seed), "source")) % 1000003).alias("turn")
+    )
+    # slot k takes the words k · words / slots .. of the stream, rounded down
+    share, rest = F.expr("words div slots"), F.col("words") % F.col("slots")
+    edge = lambda k: k * share + F.floor(k * rest / F.col("slots"))
+    ranges = plan.join(F.broadcast(streams), plan["source"].eqNullSafe(streams["s"])).withColumn("low", edge(F.col("rank"))).withColumn("high", edge(F.col("rank") + 1))
+    # a range meets blocks number g of the stream: number step of a pass, m a pass, whole ones of them of full length
+    m, whole = F.ceil(F.col("n") / block), F.floor(F.col("n") / block)
+    number = lambda x: F.floor(x / F.col("n")) * m + F.floor(x % F.col("n") / block)
+    pieces = ranges.where("low < high").withColumn("g", F.explode(F.sequence(number(F.col("low")), number(F.col("high") - 1))))
+    trip, step = F.floor(F.col("g") / m), F.col("g") % m
     prime = F.when(trip % 2 == 0, F.lit(PRIMES[0])).otherwise(F.lit(PRIMES[1]))
-    taken = plan.where(trip < MOST).select("slot", F.col("source").alias("s"), ((step * prime + F.col("turn") * (trip + 1)) % F.col("m")).alias("block"))
+    # whole blocks come in the order (step · prime + turn) mod whole
+    at = F.when(step < whole, (step * prime + F.col("turn") * (trip + 1)) % whole).otherwise(step)
+    start = trip * F.col("n") + step * block
+    length = F.least(F.lit(block), F.col("n") - step * block)
+    taken = pieces.select(
+        "slot", "s", at.alias("block"), (at * block + F.greatest(F.col("low") - start, F.lit(0))).alias("low"), (at * block + F.least(F.col("high") - start, length)).alias("high")
+    )
     parts = line.where("size > 0").withColumn(
         "block", F.explode(F.sequence(F.floor(F.col("begin") / block), F.floor((F.col("begin") + F.col("size") - 1) / block)))
     )
     hit = taken.join(parts, taken["s"].eqNullSafe(parts["source"]) & (taken["block"] == parts["block"]))
-    since = F.greatest(F.col("begin"), parts["block"] * block)
-    until = F.least(F.col("begin") + F.col("size"), (parts["block"] + 1) * block)
-    order = hit.select("slot", "source", "doc_id", "row", (since - F.col("begin")).alias("since"), (until - F.col("begin")).alias("until"))
+    since = F.greatest(F.col("begin"), F.col("low"))
+    until = F.least(F.col("begin") + F.col("size"), F.col("high"))
+    order = hit.where(since < until).select("slot", "source", "doc_id", "row", (since - F.col("begin")).alias("since"), (until - F.col("begin")).alias("until"))
     small = shares.select(F.col("source").alias("s"), "source_size", "target")
     listed = line.join(F.broadcast(small), line["source"].eqNullSafe(small["s"])).drop("s")
     return order, listed

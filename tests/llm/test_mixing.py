@@ -69,3 +69,25 @@ def test_mix(spark):
     again = M.taken_words(*M.mix(docs.repartition(5), block=8)).collect()
     assert sorted(map(str, again)) == sorted(map(str, got))
     assert M.taken_words(*M.mix(docs.limit(0))).count() == 0
+
+
+def test_small_sources_meet_their_targets(spark):
+    sizes = {"a": 200_000, "b": 300, "c": 900, "d": 2100, "e": 4100, "f": 150_000, "g": 1, None: 5}
+    rows = []
+    for s, n in sizes.items():
+        step = 5000 if n > 10_000 else 70
+        rows += [(len(rows) + k, "w " * min(step, n - at), s) for k, at in enumerate(range(0, n, step))]
+    order, listed = M.mix(spark.createDataFrame(rows, "doc_id bigint, text string, source string"))
+    got, target = Counter(), {}
+    for r in M.taken_words(order, listed).collect():
+        assert 0 <= r["taken"] <= 2 * r["size"]
+        got[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+    assert target == pytest.approx(brute_targets(sizes, (3, 1, 2)))
+    assert all(abs(got[s] - target[s]) <= 0.5 for s in sizes)
+    # and so does each half of the schedule, by half
+    spans = order.collect()
+    half, some = max(r["slot"] for r in spans) / 2, Counter()
+    for r in spans:
+        some[r["source"]] += (r["until"] - r["since"]) * (r["slot"] <= half)
+    assert all(abs(some[s] - target[s] / 2) <= max(4 * M.BLOCK * (target[s] > 32 * M.BLOCK), 0.15 * target[s] + 1) for s in sizes)
