@@ -24,6 +24,8 @@ BLOCK, SHARE, MOST = 2048, 1.5, 2
 RUNS, SLOTS = 4096, 4096
 #: Least slots of a source.
 FEW = 32
+#: Runs of documents of about a size, and the unit of shares of a document.
+PARTS, ONE = 64, 1 << 30
 #: Frac of the golden ratio in units of 2^-62, and primes over any count of blocks.
 GOLDEN = 2850178704830799621
 PRIMES = (2147483629, 2147483587)
@@ -116,7 +118,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), id_col: str = "do
     spark = docs.sparkSession
     picked = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), F.xxhash64(F.col(text_col)).alias("h"))
     twin = Window.partitionBy("doc_id", "source", "size", "h").orderBy("h")
-    sized = written(picked.select("doc_id", "source", "size", F.col("h").alias("hash"), F.xxhash64("h", F.row_number().over(twin)).alias("row")), "sizes")
+    sized = written(picked.select("doc_id", "source", "size", F.col("h").alias("hash"), F.xxhash64("h", "source", F.row_number().over(twin)).alias("row")), "sizes")
     shares = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights)
     shares = written(shares, "shares")
     line = written(lined_up(sized, seed), "line")
@@ -162,20 +164,48 @@ def taken_words(order: DataFrame, listed: DataFrame) -> DataFrame:
     return joined.select(*listed.columns, F.coalesce("n", F.lit(0)).alias("taken"))
 
 
+def whole_copies(taken: DataFrame) -> DataFrame:
+    """(doc_id, source, hash, copies, n): how many copies the n rows of a key have together, from taken_words().
+
+    Along a source's documents by size, taken / size is summed and each document has as many copies as the
+    rounded sum rises by: the share kept of long documents is that of short ones, and what is
+    rounded up or down is made good by the next document of about that size. Texts without words stay once.
+    """
+    # runs: sizes of about an eighth of a doubling, cut by hash
+    by_size = F.floor(8 * F.log2(F.col("size").cast("double"))) * PARTS + F.shiftrightunsigned("at", 65 - PARTS.bit_length())
+    rows = taken.select("doc_id", "source", "hash", "row", "size", "taken", F.xxhash64("doc_id", "row", "hash").alias("at"))
+    rows = rows.withColumn("run", by_size).withColumn("part", F.round(F.col("taken") / F.col("size") * ONE).cast("bigint"))
+    some = written(rows.where("size > 0"), "parts")
+    totals = some.groupBy("source", "run").agg(F.sum("part").alias("n"))
+    before = totals.select(F.col("source").alias("s"), F.col("run").alias("r"), (F.sum("n").over(Window.partitionBy("source").orderBy("run")) - F.col("n")).alias("before"))
+    within = F.sum("part").over(Window.partitionBy("source", "run").orderBy("at", "doc_id", "row").rowsBetween(Window.unboundedPreceding, 0))
+    placed = some.withColumn("within", within)
+    summed = placed.join(before, placed["source"].eqNullSafe(before["s"]) & (placed["run"] == before["r"]))
+    until = F.col("before") + F.col("within") + ONE // 2
+    copies = (F.shiftright(until, ONE.bit_length() - 1) - F.shiftright(until - F.col("part"), ONE.bit_length() - 1)).alias("copies")
+    empty = rows.where("size = 0").select("doc_id", "source", "hash", F.lit(1).cast("bigint").alias("copies"))
+    both = summed.select("doc_id", "source", "hash", copies).unionByName(empty)
+    return both.groupBy("doc_id", "source", "hash").agg(F.sum("copies").alias("copies"), F.count("*").alias("n"))
+
+
 def repeated_documents(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The rows of docs, with all their columns, each as often as the mix takes it, to the nearest whole.
+    """The rows of docs, with all their columns, in whole copies as whole_copies() has them.
 
-    Texts without words, of which the mix takes none, stay once.
+    Rows of equal id, source and text share their copies as evenly as whole copies go.
     """
     key = [F.col(id_col).alias("d"), F.col(source_col).alias("s"), F.xxhash64(F.col(text_col)).alias("h")]
     order, listed = mix(docs, weights, id_col, text_col, source_col)
-    sums = taken_words(order, listed).groupBy("doc_id", "source", "hash").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
-    copies = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int")
-    times = sums.select("doc_id", "source", "hash", copies.alias("copies")).where("copies > 0")
+    times = written(whole_copies(taken_words(order, listed)).where("copies > 0"), "times")
     marked = docs.select(F.struct(*docs.columns).alias("whole"), *key)
-    same = marked["d"].eqNullSafe(times["doc_id"]) & marked["s"].eqNullSafe(times["source"]) & (marked["h"] == times["hash"])
-    found = marked.join(times, same).select("whole", F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
-    return found.select("whole.*")
+
+    def found(some: DataFrame) -> DataFrame:
+        same = marked["d"].eqNullSafe(some["doc_id"]) & marked["s"].eqNullSafe(some["source"]) & (marked["h"] == some["hash"])
+        return marked.join(some, same).select("whole", "d", "s", "h", "copies", "n")
+
+    turn = F.row_number().over(Window.partitionBy("d", "s", "h").orderBy("h")) - 1
+    twins = found(times.where("n > 1")).withColumn("own", F.expr("copies div n") + (turn < F.col("copies") % F.col("n")).cast("bigint"))
+    each = found(times.where("n = 1")).withColumn("own", F.col("copies")).unionByName(twins).where("own > 0")
+    return each.select("whole", F.explode(F.sequence(F.lit(1), F.col("own").cast("int"))).alias("copy")).select("whole.*")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

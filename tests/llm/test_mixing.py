@@ -91,3 +91,26 @@ def test_small_sources_meet_their_targets(spark):
     for r in spans:
         some[r["source"]] += (r["until"] - r["since"]) * (r["slot"] <= half)
     assert all(abs(some[s] - target[s] / 2) <= max(4 * M.BLOCK * (target[s] > 32 * M.BLOCK), 0.15 * target[s] + 1) for s in sizes)
+
+
+def test_whole_documents_keep_long_ones_and_targets(spark):
+    docs = [(k, "w " * (40 + k % 9), s, k) for s in "abaaa" for k in range(300)]
+    docs += [(1000 + k, "w " * (4000 + 300 * k), s, k) for s in "abaaa" for k in range(16)] + [(2000, "", "b", 0), (2001, None, "b", 0)]
+    docs += [(3000, "w " * 50, "a", k) for k in range(9)] * 2
+    docs = spark.createDataFrame(docs, "doc_id bigint, text string, source string, extra int")
+    listed = M.mix(docs, (20, 1))[1].collect()
+    size, target = Counter(), {r["source"]: r["target"] for r in listed}
+    for r in listed:
+        size[r["source"]] += r["size"]
+    assert target["b"] < 0.5 * size["b"]
+    out = M.repeated_documents(docs, (20, 1))
+    assert out.columns == docs.columns
+    got, times = Counter(), Counter()
+    for r in out.collect():
+        got[r["source"]] += len((r["text"] or "").split())
+        times[(r["source"], r["doc_id"])] += 1
+    for s in "ab":
+        assert abs(got[s] - target[s]) <= 8500
+        long = sum(times[(s, 1000 + k)] for k in range(16))
+        assert abs(long / (16 if s == "b" else 64) - target[s] / size[s]) < 0.1
+    assert times[("b", 2000)] == times[("b", 2001)] == 1 and 9 <= times[("a", 3000)] <= 36
