@@ -1,16 +1,18 @@
 """Finds cropped or edited copies of images by local descriptors.
 
-Each grey image (binary PGM) gives up to CORNERS corners over several scales, with an orientation from
+Each grey image (binary PGM) gives up to CORNERS corners in each cell of about CELL pixels a side, over several scales, with an orientation from
 the intensity centroid; 256 brightness comparisons turned by it form a descriptor. Descriptors are
 indexed in TABLES Hamming tables, keyed by KEY_BITS sampled bits each. A query's descriptors join
 the tables; images that get VOTES of a query's corners are candidates, and the corner pairs of a
 candidate must agree on one similarity transform (geometric consensus).
 
-Images of equal pixels are one class with one index entry, so that no group of copies multiplies.
+Images of equal pixels are one class with one index entry, so that no group of copies multiplies. A
+query's own class is found by the hash of its pixels, whatever corners it has.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import read, written
 
-CORNERS, SCALES = 32, (1.0, 0.75, 0.5625)
+CORNERS, CELL, SCALES = 32, 96, (1.0, 0.75, 0.5625)
 TABLES, KEY_BITS, VOTES, INLIERS = 12, 20, 3, 8
 NEAR, TOLERANCE = 60, 4.0
 _R = 9  # patch radius
@@ -105,10 +107,15 @@ def describe(stack: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         strength = least[which, y, x]
         for k in range(len(which)):
             found[which[k]].append((strength[k], rows[k], bits[k]))
-    out = []
+    out, down, across = [], max(1, round(h / CELL)), max(1, round(w / CELL))
     for corners in found:
         corners.sort(key=lambda c: (-c[0], *c[1]))
-        best = corners[:CORNERS]
+        held, best = Counter(), []
+        for c in corners:
+            cell = (int(c[1][1] * down / h), int(c[1][0] * across / w))
+            held[cell] += 1
+            if held[cell] <= CORNERS:
+                best.append(c)
         out.append((np.array([c[1] for c in best]).reshape(-1, 4), np.array([c[2] for c in best], np.uint8).reshape(-1, 32)))
     return out
 
@@ -128,9 +135,11 @@ def consensus(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]
     (pa, da), (pb, db) = a, b
     if not len(pa) or not len(pb):
         return 0, 1.0, 0.0, 0.0, 0.0
-    distance = _POPCOUNT[da[:, None, :] ^ db[None, :, :]].sum(2, dtype=np.int64)
+    step = max(1, 4_000_000 // (32 * len(db)))
+    distance = np.concatenate([_POPCOUNT[da[at : at + step, None, :] ^ db[None, :, :]].sum(2, dtype=np.int16) for at in range(0, len(da), step)])
     to = distance.argmin(1)
-    pairs = [(i, j) for i, j in enumerate(to) if distance[i, j] <= NEAR and distance[:, j].argmin() == i]
+    back = distance.argmin(0)
+    pairs = [(i, j) for i, j in enumerate(to) if distance[i, j] <= NEAR and back[j] == i]
     if not pairs:
         return 0, 1.0, 0.0, 0.0, 0.0
     ia, ib = np.array(pairs).T
@@ -202,7 +211,8 @@ def find_copies(images: DataFrame, queries: DataFrame, votes: int = VOTES, inlie
     """(query_id, match_id, copies, inliers, scale, angle, dx, dy) of each copy found.
 
     images, queries: (id, image). match_id is the least id of the images with the match's pixels and
-    copies their number; scale, angle and shift map the query onto it. Null ids and images match
+    copies their number; scale, angle and shift map the query onto it. Equal pixels match with the
+    unchanged transform and all their corners as inliers, even if these are none. Null ids and images match
     nothing; repeated rows count as copies; queries of equal id are one query, of its least image; other columns are
     left out; empty tables give empty results.
     """
@@ -211,13 +221,17 @@ def find_copies(images: DataFrame, queries: DataFrame, votes: int = VOTES, inlie
     one = named.select("id", "image", F.sha2("image", 256).alias("h")).join(classes.select("id", "h"), ["id", "h"]).dropDuplicates(["id", "h"])
     index = written(described(one.select("id", "image")), "image-index")
     asked = queries.where("id IS NOT NULL AND image IS NOT NULL").select(F.col("id").cast("bigint").alias("id"), "image")
-    probe = written(described(asked.groupBy("id").agg(F.min("image").alias("image"))), "image-queries")
+    asked = asked.groupBy("id").agg(F.min("image").alias("image"))
+    probe = written(described(asked), "image-queries")
+    hashed = asked.select(F.col("id").alias("query_id"), F.sha2("image", 256).alias("h"))
+    equal = written(hashed.join(classes, "h").select("query_id", F.col("id").alias("match_id"), "copies"), "image-equal")
     entries = index.select(F.col("id").alias("match_id"), F.explode("keys").alias("key"))
     probes = probe.select(F.col("id").alias("query_id"), F.posexplode("keys").alias("k", "key")).select("query_id", F.floor(F.col("k") / TABLES).alias("corner"), "key")
     hits = probes.join(entries, "key").groupBy("query_id", "match_id", "corner").agg(F.count("*").alias("n"))
     candidates = written(hits.groupBy("query_id", "match_id").agg(F.count("*").alias("votes")).where(F.col("votes") >= votes), "image-candidates")
     left = probe.select(F.col("id").alias("query_id"), F.col("points").alias("qp"), F.col("bits").alias("qb"))
     right = index.select(F.col("id").alias("match_id"), F.col("points").alias("mp"), F.col("bits").alias("mb"))
+    candidates = candidates.join(equal, ["query_id", "match_id"], "left_anti")
     paired = candidates.join(left, "query_id").join(right, "match_id").select("query_id", "match_id", "qp", "qb", "mp", "mb")
 
     def run(batches: Iterator) -> Iterator:
@@ -235,7 +249,11 @@ def find_copies(images: DataFrame, queries: DataFrame, votes: int = VOTES, inlie
     agreed = paired.mapInArrow(run, "query_id bigint, match_id bigint, inliers bigint, scale double, angle double, dx double, dy double")
     kept = agreed.where(F.col("inliers") >= inliers)
     sizes = classes.groupBy("id").agg(F.sum("copies").alias("copies"))
-    return kept.join(sizes, kept["match_id"] == sizes["id"]).select("query_id", "match_id", "copies", "inliers", "scale", "angle", "dx", "dy")
+    near = kept.join(sizes, kept["match_id"] == sizes["id"]).select("query_id", "match_id", "copies", "inliers", "scale", "angle", "dx", "dy")
+    corners = probe.select(F.col("id").alias("query_id"), F.floor(F.length("bits") / 32).alias("inliers"))
+    one, zero = F.lit(1.0), F.lit(0.0)
+    same = equal.join(corners, "query_id").select("query_id", "match_id", "copies", "inliers", one.alias("scale"), zero.alias("angle"), zero.alias("dx"), zero.alias("dy"))
+    return near.unionByName(same)
 
 
 # ---- the query's images -------------------------------------------------------------------------

@@ -45,3 +45,24 @@ def test_search_equals_brute_force(spark):
     assert set(found) <= want and len(found) >= 0.9 * len(want)
     assert found[(1004, 4)] == 7 and found[(1000, 0)] == 1
     assert I.find_copies(table.limit(0), queries).count() == 0 and I.find_copies(table, queries.limit(0)).count() == 0
+
+
+def test_equal_pixels_need_no_corners(spark):
+    small, flat, full = drawn(1, 5)[0][:20, :20], np.full((96, 96), 7, np.uint8), drawn(1, 6)[0]
+    rows = [(1, I.pgm(small)), (2, I.pgm(small)), (3, I.pgm(flat)), (4, I.pgm(full)), (5, I.pgm(drawn(1, 7)[0]))]
+    table = spark.createDataFrame(rows, "id bigint, image binary")
+    asked = spark.createDataFrame([(11, I.pgm(small)), (12, I.pgm(flat)), (13, I.pgm(full)), (14, I.pgm(small[:, :19]))], "id bigint, image binary")
+    got = I.find_copies(table, asked).collect()
+    assert sorted((r["query_id"], r["match_id"], r["copies"]) for r in got) == [(11, 1, 2), (12, 3, 1), (13, 4, 1)]
+    assert all((r["scale"], r["angle"], r["dx"], r["dy"]) == (1, 0, 0, 0) for r in got)
+    assert {r["query_id"]: r["inliers"] for r in got} == {11: 0, 12: 0, 13: 32}
+
+
+def test_corners_grow_with_the_image():
+    rng = np.random.default_rng(8)
+    field = sum(I.resized(rng.normal(0, a, (n, n)), 384, 384) for n, a in ((32, 1.0), (64, 0.8), (120, 0.5)))
+    image = (128 + np.linspace(8, 45, 384) * field).clip(0, 255).astype(np.uint8)  # weak at the left
+    whole = I.describe(image[None])[0]
+    assert len(whole[0]) == 16 * I.CORNERS
+    found = [I.consensus(I.describe(image[None, y : y + 120, x : x + 120])[0], whole)[0] for y in range(0, 260, 60) for x in range(0, 260, 60)]
+    assert sum(n >= I.INLIERS for n in found) >= 23  # of 25
