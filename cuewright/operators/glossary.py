@@ -2,35 +2,77 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Aliases short enough to be broadcast may number so many; more are matched by their words only.
+from ..functions.text import folded
+
+#: Aliases are broadcast if they number at most so many.
 SHORT = 100_000
-BREAK = r"[^\p{L}\p{N}]+"
+#: (characters of a gram, grams of a window): aliases as long as a window are looked up by its least gram.
+TIERS = ((8, 9), (3, 1))
+
+
+def least_grams(text: Column, n: int, window: int) -> Column:
+    """Hashes of the least gram of n characters of each window: a text that contains an alias has those of the alias."""
+
+    @F.pandas_udf("array<bigint>")
+    def run(values: pd.Series) -> pd.Series:
+        import numpy as np
+
+        def of(text: str | None) -> list:
+            if text is None:
+                return []
+            points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+            if len(points) < n + window - 1:
+                return []
+            h = np.zeros(len(points) - n + 1, np.uint64)
+            for k in range(n):
+                h = h * np.uint64(0x9E3779B97F4A7C15) + points[k : k + len(h)]
+            h ^= h >> np.uint64(29)
+            h *= np.uint64(0xBF58476D1CE4E5B9)
+            h ^= h >> np.uint64(32)
+            return np.unique(np.lib.stride_tricks.sliding_window_view(h, window).min(1)).view(np.int64)
+
+        return values.map(of)
+
+    return run(text)
 
 
 def alias_hits(texts: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Distinct (text_id, entry_id) where the text contains the alias; texts (text_id, hay), aliases (entry_id, alias).
+    """Distinct (text_id, entry_id) where the folded text contains the folded alias; texts (text_id, hay), aliases (entry_id, alias).
 
-    An alias with a word that stands between others in it must have that word as a word of the text: such
-    aliases meet texts by an equality join on their longest inner word and are then looked for. The
-    others, one or two words long, are compared with every text; they are broadcast only up to SHORT.
+    Both are compared as folded() has them, without case, width, kana kind, blanks and marks; aliases of
+    which nothing is left match nothing. An alias meets texts by an equality join on one of its
+    grams and is then looked for. Those too short for that are compared with every text. Aliases are
+    broadcast only up to SHORT.
     """
-    inner = F.expr("slice(split(alias, '[^\\\\p{L}\\\\p{N}]+'), 2, greatest(size(split(alias, '[^\\\\p{L}\\\\p{N}]+')) - 2, 0))")
-    words = F.filter(inner, lambda w: w != "")
-    longest = F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    keyed = aliases.where("alias <> ''").withColumn("word", longest)
-    spread = texts.select("text_id", "hay", F.explode(F.array_distinct(F.split("hay", BREAK))).alias("word"))
-    wanted = keyed.where("word IS NOT NULL")
-    by_word = spread.join(wanted, "word").where(F.contains("hay", "alias")).select("text_id", "entry_id")
-    short = keyed.where("word IS NULL").select("entry_id", "alias")
+    hays = texts.select("text_id", folded(F.col("hay")).alias("hay")).where("hay <> ''")
+    names = aliases.select("entry_id", folded(F.col("alias")).alias("alias")).where("alias <> ''").distinct()
+    found, longer = [], F.lit(False)
+    for n, window in TIERS:
+        fits = F.length("alias") >= n + window - 1
+        some = names.where(fits & ~longer)
+        longer = longer | fits
+        few = some.limit(SHORT + 1).count()
+        if few == 0:
+            continue
+        wanted = some.withColumn("gram", F.element_at(least_grams(F.col("alias"), n, window), 1))
+        spread = texts.select("text_id", folded(F.col("hay")).alias("hay")).select("text_id", F.explode(least_grams(F.col("hay"), n, window)).alias("gram"))
+        met = spread.join(F.broadcast(wanted) if few <= SHORT else wanted, "gram").select("text_id", "entry_id", "alias").distinct()
+        # only texts that share a gram are folded again: with the alias in it this stays above the join
+        both = met.join(texts.select("text_id", F.col("hay").alias("raw")), "text_id").withColumn("hay", folded(F.when(F.length("alias") > 0, F.col("raw"))))
+        found.append(both.where(F.contains("hay", "alias")).select("text_id", "entry_id"))
+    short = names.where(~longer)
     n = short.limit(SHORT + 1).count()
-    if n == 0:
-        return by_word.distinct()
-    side = F.broadcast(short) if n <= SHORT else short
-    by_scan = texts.join(side, F.contains("hay", "alias")).select("text_id", "entry_id")
-    return by_word.unionByName(by_scan).distinct()
+    if n:
+        side = F.broadcast(short) if n <= SHORT else short
+        found.append(hays.join(side, F.contains("hay", "alias")).select("text_id", "entry_id"))
+    out = found[0] if found else hays.join(names, F.lit(False)).select("text_id", "entry_id")
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out.distinct()
 
 
 def whole_units(entries: DataFrame, hits: DataFrame) -> DataFrame:

@@ -67,6 +67,16 @@ def test_chunks(spark, sizes, limit):
         chunking.chunk_numbers(rows, "key", "pos", "size", 0)
 
 
+def test_hits_of_folded_names(spark):
+    names = ["ミキ", "ＡＢＣ 放送局", "Grand Blue Fantasy", "・・", None, "", "x", "Straße", "abcdefgh"]
+    aliases = spark.createDataFrame(list(enumerate(names)), "entry_id int, alias string")
+    hays = ["みきです", "abc放送局。", "ＧＲＡＮＤ・ｂｌｕｅ fan tasy!", "・・", None, "", "X", "in der STRASSE", "abc defg", "ABC DEF GHI"]
+    got = glossary.alias_hits(spark.createDataFrame(list(enumerate(hays)), "text_id int, hay string"), aliases).collect()
+    assert sorted((r["text_id"], r["entry_id"]) for r in got) == [(0, 0), (1, 1), (2, 2), (6, 6), (7, 7), (9, 8)]
+    nothing = glossary.alias_hits(spark.createDataFrame([(1, "x")], "text_id int, hay string"), aliases.where("alias = '・・'"))
+    assert nothing.columns == ["text_id", "entry_id"] and nothing.count() == 0
+
+
 def test_glossary(spark):
     raw = {
         "talents": [
