@@ -2,17 +2,18 @@
 
 File layout (integers little-endian), one file for a run of documents in order:
 
-    magic "CWH1", u32 header length, JSON header {first, docs, tokens, symbols, block},
+    magic "CWH1", u32 header length, JSON header {first, docs, tokens, symbols, block, step, limit, keys, parts},
     code lengths as one byte a symbol (zlib), document token counts as u32 (zlib),
     then blocks: u32 tokens, u32 words, u32 checkpoints, the checkpoints' bit offsets as u32, words as u32.
 
 A block holds up to BLOCK ids and decodes on its own; a checkpoint gives the bit offset of every
-STEP-th id, from where decoding can start. Codes have at most LIMIT bits, so one table of 2^LIMIT
-entries decodes any code.
+STEP-th id, from where decoding can start. Codes have at most ``limit`` bits (LIMIT, or as many as
+the used ids need), so one table of 2^limit entries decodes any code.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
 import struct
 import uuid
@@ -65,6 +66,11 @@ def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
     return lengths
 
 
+def limit_for(used: int) -> int:
+    """The longest code of a file: LIMIT bits unless more ids are used than these can name."""
+    return max(LIMIT, (max(used, 1) - 1).bit_length())
+
+
 def canonical(lengths: np.ndarray) -> np.ndarray:
     """Codes by length, then symbol."""
     codes = np.zeros(len(lengths), np.uint32)
@@ -133,7 +139,7 @@ def write_run(first: int, docs: list[np.ndarray], keys: list, lengths: np.ndarra
     ids = np.concatenate(docs) if docs else np.zeros(0, np.uint32)
     sizes = zlib.compress(np.array([len(d) for d in docs], "<u4").tobytes())
     code = zlib.compress(lengths.tobytes())
-    header = json.dumps({"first": first, "docs": len(docs), "tokens": len(ids), "symbols": len(lengths), "block": BLOCK, "step": STEP, "keys": keys, "parts": [len(code), len(sizes)]}).encode()
+    header = json.dumps({"first": first, "docs": len(docs), "tokens": len(ids), "symbols": len(lengths), "limit": limit_for(int(np.count_nonzero(lengths))), "block": BLOCK, "step": STEP, "keys": keys, "parts": [len(code), len(sizes)]}).encode()
     blocks = [pack(ids[i : i + BLOCK], lengths, codes) for i in range(0, len(ids), BLOCK)]
     return b"".join([MAGIC, struct.pack("<I", len(header)), header, code, sizes, *blocks])
 
@@ -147,9 +153,9 @@ def read_run(data: bytes) -> Iterator[tuple[object, int, np.ndarray]]:
     code, sizes = header["parts"]
     lengths = np.frombuffer(zlib.decompress(data[at : at + code]), np.uint8)
     counts = np.frombuffer(zlib.decompress(data[at + code : at + code + sizes]), "<u4").astype(np.int64)
-    table, view, at, found = decode_table(lengths), memoryview(data), at + code + sizes, []
+    table, view, at, found = decode_table(lengths, header["limit"]), memoryview(data), at + code + sizes, []
     while at < len(data):
-        ids, read_bytes = unpack(view[at:], table, header["step"])
+        ids, read_bytes = unpack(view[at:], table, header["step"], header["limit"])
         found.append(ids)
         at += read_bytes
     ids = np.concatenate(found) if found else np.zeros(0, np.uint32)
@@ -162,59 +168,59 @@ def read_run(data: bytes) -> Iterator[tuple[object, int, np.ndarray]]:
 
 
 def encoded(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(bucket, id, at, n, ids): ids as u16 or u32 bytes, at: the ids before it in its bucket.
-
-    Buckets are runs of ids of about equal counts; rows are in ascending (id, text), nulls first.
-    """
-    cuts = splits(docs, id_col, order_buckets(docs.sparkSession))
-    rows = docs.select(bucket_of(F.col(id_col), cuts).alias("bucket"), F.col(id_col).cast("bigint").alias("id"), F.coalesce(text_col, F.lit("")).alias("t"))
-    dealt = rows.repartition(order_buckets(docs.sparkSession) // 4, "bucket").sortWithinPartitions("bucket", "id", "t")
+    """(id, n, ids) of each document where it lies: ids as bytes of u16, or of u32 if any id needs that."""
+    kind = id_kind(path, end_id)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        bucket, at, end = None, 0, np.array([end_id], "<u4").tobytes()
+        end = np.array([end_id], kind).tobytes()
         for batch in batches:
-            ids = [e + end for e in word_ids.encode(batch.column(2).to_pylist(), path)]
-            starts = []
-            for b, e in zip(batch.column(0).to_pylist(), ids, strict=True):
-                if b != bucket:
-                    bucket, at = b, 0
-                starts.append(at)
-                at += len(e) // 4
-            small = [np.frombuffer(e, "<u4").astype("<u2").tobytes() for e in ids]
-            arrays = [batch.column(0), batch.column(1), pa.array(starts, pa.int64()), pa.array([len(e) // 4 for e in ids], pa.int64()), pa.array(small, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["bucket", "id", "at", "n", "ids"])
+            for first, bounds, ids in word_ids.encode_array(batch.column(1), path):
+                small, sizes = ids.astype(kind), np.diff(bounds)
+                data = [small[a:b].tobytes() + end for a, b in itertools.pairwise(bounds.tolist())]
+                arrays = [batch.column(0).slice(first, len(sizes)), pa.array(sizes + 1, pa.int64()), pa.array(data, pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["id", "n", "ids"])
 
-    return dealt.mapInArrow(run, "bucket int, id bigint, at bigint, n bigint, ids binary")
+    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col)).mapInArrow(run, "id bigint, n bigint, ids binary")
 
 
-def symbol_counts(tokens: DataFrame) -> np.ndarray:
-    """Global counts of every id; at most one row an id comes back to the driver."""
+def id_kind(path: str, end_id: int) -> str:
+    return "<u2" if max(word_ids.vocabulary(path) - 1, end_id) < 1 << 16 else "<u4"
+
+
+def symbol_counts(tokens: DataFrame, kind: str, symbols: int) -> np.ndarray:
+    """Global counts of every id below symbols; at most one row an id comes back to the driver."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        total = np.zeros(1 << 16, np.int64)
+        total = np.zeros(symbols, np.int64)
         for batch in batches:
-            total += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u2"), minlength=1 << 16)
+            total += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), kind), minlength=symbols)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used], pa.int64())], names=["id", "n"])
 
     rows = tokens.select("ids").mapInArrow(run, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()
-    counts = np.zeros(1 + max((r["id"] for r in rows), default=0), np.int64)
+    counts = np.zeros(symbols, np.int64)
     for r in rows:
         counts[r["id"]] = r["n"]
     return counts
 
 
-def write_ids(tokens: DataFrame) -> DataFrame:
-    """Writes token files in ascending order of documents; the manifest has (path, first, docs, tokens)."""
+def write_ids(tokens: DataFrame, kind: str, symbols: int, file_tokens: int = FILE_TOKENS) -> DataFrame:
+    """Writes token files in ascending order of (id, ids), nulls first; the manifest has (path, first, docs, tokens).
+
+    Only ids are shuffled, into runs of about equal counts of documents; a run's first place is the sum of the runs before.
+    """
     spark = tokens.sparkSession
     folder = new_folder(spark, "ids")
-    lengths = code_lengths(symbol_counts(tokens))
+    counts = symbol_counts(tokens, kind, symbols)
+    lengths = code_lengths(counts, limit_for(int(np.count_nonzero(counts))))
     codes = canonical(lengths)
-    totals = {r["bucket"]: r["n"] for r in tokens.groupBy("bucket").agg(F.sum("n").alias("n")).collect()}  # bounded: buckets
+    most = order_buckets(spark)
+    placed = tokens.withColumn("bucket", bucket_of(F.col("id"), splits(tokens, "id", most)))
+    totals = {r["bucket"]: r["n"] for r in placed.groupBy("bucket").agg(F.sum("n").alias("n")).collect()}  # bounded: buckets
     before, first = 0, {}
     for bucket in sorted(totals):
         first[bucket] = before
@@ -223,7 +229,7 @@ def write_ids(tokens: DataFrame) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        docs, keys, start, size = [], [], 0, 0
+        docs, keys, start, size, now, place = [], [], 0, 0, None, 0
         schema = pa.schema([("path", pa.string()), ("first", pa.int64()), ("docs", pa.int64()), ("tokens", pa.int64())])
 
         def close() -> pa.RecordBatch:
@@ -232,20 +238,23 @@ def write_ids(tokens: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_pylist([{"path": path, "first": start, "docs": len(docs), "tokens": size}], schema)
 
         for batch in batches:
-            for bucket, key, at, n, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                begins = first[bucket] + at
-                if docs and (begins != start + size or size + n > FILE_TOKENS):  # not the next document, or full
+            for bucket, key, n, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket != now:
+                    now, place = bucket, first[bucket]
+                if docs and (place != start + size or size + n > file_tokens):  # not the next document, or full
                     yield close()
                     docs, keys, size = [], [], 0
                 if not docs:
-                    start = begins
-                docs.append(np.frombuffer(ids, "<u2"))
+                    start = place
+                docs.append(np.frombuffer(ids, kind))
                 keys.append(key)
                 size += n
+                place += n
         if docs:
             yield close()
 
-    return written(tokens.select("bucket", "id", "at", "n", "ids").mapInArrow(run, "path string, first bigint, docs bigint, tokens bigint"), "ids-manifest")
+    dealt = placed.select("bucket", "id", "n", "ids").repartition(max(1, most // 4), "bucket").sortWithinPartitions("bucket", F.asc_nulls_first("id"), "ids")
+    return written(dealt.mapInArrow(run, "path string, first bigint, docs bigint, tokens bigint"), "ids-manifest")
 
 
 def read_ids(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
@@ -270,14 +279,15 @@ def read_ids(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
     return manifest.select("path").repartition(tasks, "path").mapInArrow(run, "id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + tail)
 
 
-def token_file_rows(docs: DataFrame, path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def token_file_rows(docs: DataFrame, path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, file_tokens: int = FILE_TOKENS) -> DataFrame:
     """Encodes the texts, writes the token files and reads them back.
 
-    Null texts are empty and give the end id alone; rows of equal id follow each other by text; a
+    Null texts are empty and give the end id alone; rows of equal id follow each other by their ids; a
     null id comes first; other columns are left out; an empty table gives an empty result.
     """
+    kind = id_kind(path, end_id)
     tokens = written(encoded(docs, path, end_id, id_col, text_col), "tokens")
-    return read_ids(write_ids(tokens), with_ids).withColumnRenamed("id", id_col)
+    return read_ids(write_ids(tokens, kind, max(word_ids.vocabulary(path), end_id + 1), file_tokens), with_ids).withColumnRenamed("id", id_col)
 
 
 def op4_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,15 +53,33 @@ def test_rows_equal_the_library(spark):
     got = H.token_file_rows(docs, PATH, with_ids=True).collect()
     tokenizer, at = Tokenizer.from_file(PATH), 0
     want = {}
-    rows = sorted((r["doc_id"], r["text"] or "") for r in docs.collect())
-    for key, text in rows:
-        ids = tokenizer.encode(text, add_special_tokens=False).ids + [1]
+    rows = [(r["doc_id"], tokenizer.encode(r["text"] or "", add_special_tokens=False).ids + [1]) for r in docs.collect()]
+    for key, ids in sorted(rows, key=lambda r: (r[0], np.array(r[1], "<u2").tobytes())):
         want[at] = (key, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), ids)
         at += len(ids)
     assert {r["start"]: (r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"], r["ids"]) for r in got} == want
     assert H.token_file_rows(docs.limit(0), PATH).count() == 0
 
 
+def test_files_roll_over_and_wide_ids(spark):
+    docs = spark.createDataFrame([(i, f"word{i} and more " * (i % 7)) for i in range(300)] + [(None, "first")], "doc_id bigint, text string")
+    one, many = (sorted(H.token_file_rows(docs, PATH, file_tokens=n).collect(), key=lambda r: r["start"]) for n in (1 << 20, 50))
+    assert one == many and [r["doc_id"] for r in one] == [None, *range(300)]
+    wide = H.token_file_rows(docs, PATH, end_id=70_000, with_ids=True)
+    narrow = {r["doc_id"]: r["ids"] for r in H.token_file_rows(docs, PATH, with_ids=True).collect()}
+    assert {r["doc_id"]: r["ids"] for r in wide.collect()} == {k: [*v[:-1], 70_000] for k, v in narrow.items()}
+
+
+def test_more_ids_than_sixteen_bits_name():
+    rng = np.random.default_rng(2)
+    ids = rng.permutation(90_000).astype(np.uint32)
+    lengths = H.code_lengths(np.bincount(ids), H.limit_for(90_000))
+    assert lengths.max() == 17
+    data = H.write_run(5, [ids[:70_000], ids[70_000:]], [1, 2], lengths, H.canonical(lengths))
+    back = list(H.read_run(data))
+    assert [(k, s) for k, s, _ in back] == [(1, 5), (2, 70_005)] and (np.concatenate([r[2] for r in back]) == ids).all()
+
+
 def test_damaged_files():
     with pytest.raises(ValueError):
         list(H.read_run(b"nothing"))

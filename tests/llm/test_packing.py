@@ -38,6 +38,22 @@ def test_best_fit_equals_brute_force():
         assert fit.open <= bins
 
 
+def test_the_bound_acts_and_costs_little(spark):
+    rng = random.Random(5)
+    texts = ["the " * min(5000, int(rng.lognormvariate(5.5, 1.2))) for _ in range(9000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = best_fit(docs, PATH, size=2048).collect()
+    least = -(-sum(r["length"] for r in got) // 2048)
+    assert len({r["sequence_id"] for r in got}) <= 1.01 * least
+    fit = BestFit(2048, 1024)
+    lengths = [min(2048, int(rng.lognormvariate(5.5, 1.2)) + 1) for _ in range(40_000)]
+    for at in range(0, len(lengths), 2000):
+        for n in sorted(lengths[at : at + 2000], reverse=True):
+            fit.place(n)
+            assert fit.open <= 1024
+    assert fit.closed > 0 and fit.made <= 1.01 * -(-sum(lengths) // 2048)
+
+
 def test_pieces(spark):
     texts = ["hello world", None, "", "a b c " * 100, "w " * 31, "same", "same"]
     docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)] + [(6, "same", 1), (None, "q", 1)], "doc_id bigint, text string, length int")
