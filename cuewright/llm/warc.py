@@ -24,7 +24,7 @@ V1_FIELDS = "URL IP-address Archive-date Content-type Archive-length"
 V2_FIELDS = "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 FILE_BYTES = 8 << 20
-LEVEL = 1
+LEVEL, SLICE = 1, 4096
 
 
 # ---- ARC ----------------------------------------------------------------------------------------
@@ -42,10 +42,15 @@ def members(data: bytes) -> Iterator[tuple[int, int, bytes]]:
         return
     at, view = 0, memoryview(data)
     while at < len(data):
-        reader = zlib.decompressobj(31)
-        content = reader.decompress(view[at:])
-        end = len(data) - len(reader.unused_data)
-        yield at, end - at, content
+        # fed in slices: what a reader has left over at a member's end is copied
+        reader, parts, end, step = zlib.decompressobj(31), [], at, SLICE
+        while not reader.eof:
+            if end >= len(data):
+                raise ValueError("a gzip member without an end")
+            parts.append(reader.decompress(view[end : end + step]))
+            end, step = min(len(data), end + step), 2 * step
+        end -= len(reader.unused_data)
+        yield at, end - at, parts[0] if len(parts) == 1 else b"".join(parts)
         at = end
 
 
@@ -103,20 +108,20 @@ def parse_arc(data: bytes) -> Iterator[dict]:
 
 
 def record_id(digest: str, key: int | None, place: str) -> str:
-    """A version 8 UUID that holds the record's key, else one from its place in its archive."""
+    """A version 8 UUID of the record's 64-bit key and 58 bits that tell its digest and place; a version 5 one without a key."""
     if key is None:
         return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, place)}>"
-    high = (int(digest[:12], 16) << 16) | 0x8000 | ((int(digest[12:15], 16)) & 0x0FFF)
-    low = 0x8 << 60 | (key & ((1 << 60) - 1))
-    return f"<urn:uuid:{uuid.UUID(int=high << 64 | low)}>"
+    told, bits = int(hashlib.sha1(f"{digest} {place}".encode()).hexdigest()[:15], 16) >> 2, key & ((1 << 64) - 1)
+    high = (told >> 10) << 16 | 0x8 << 12 | (bits >> 62) << 10 | told & 0x3FF
+    return f"<urn:uuid:{uuid.UUID(int=high << 64 | 0b10 << 62 | bits & ((1 << 62) - 1))}>"
 
 
 def key_of(name: str) -> int | None:
     value = uuid.UUID(name.strip("<>").removeprefix("urn:uuid:"))
     if value.version != 8:
         return None
-    low = value.int & ((1 << 60) - 1)
-    return low - (1 << 60) if low >> 59 else low
+    bits = ((value.int >> 64) >> 10 & 0b11) << 62 | value.int & ((1 << 62) - 1)
+    return bits - (1 << 64) if bits >> 63 else bits
 
 
 def warc_date(date: str) -> str:
@@ -145,12 +150,14 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def http_parts(block: bytes) -> tuple[dict[str, str], bytes, bytes]:
-    """(headers, head, payload) of an HTTP response; without a head all is payload."""
+    """(headers, head, payload) of an HTTP response, whose head ends at the first blank line; without a head all is payload."""
+    if not block.startswith(b"HTTP/"):
+        return {}, b"", block
     head, sep, payload = block.partition(b"\r\n\r\n")
-    if not sep or not head.startswith(b"HTTP/"):
+    if not sep:
         return {}, b"", block
-    lines = head.decode("latin-1").split("\r\n")[1:]
-    return {k.lower(): v for k, v in (line.split(": ", 1) for line in lines)}, head + sep, payload
+    named = (line.partition(":") for line in head.decode("latin-1").split("\r\n")[1:])
+    return {k.strip().lower(): v.strip() for k, _, v in named}, head + sep, payload
 
 
 # ---- Spark --------------------------------------------------------------------------------------
@@ -181,7 +188,7 @@ def write_arcs(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
         for batch in batches:
             for key, url, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                payload = (html or "").encode()
+                payload = html or b""
                 if not held:
                     held.append(_member(arc_version_block("pages", version)))
                 identity = f"X-Record-Key: {key}\r\n" if key is not None else ""
@@ -194,7 +201,7 @@ def write_arcs(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
         if count:
             yield close()
 
-    rows = pages.select(F.col(id_col).cast("bigint"), F.col(url_col), F.col(body_col))
+    rows = pages.select(F.col(id_col).cast("bigint").alias("key"), F.col(url_col).alias("url"), F.col(body_col).cast("binary").alias("body"))
     return written(rows.mapInArrow(run, "path string, records bigint, bytes bigint"), "arcs")
 
 
@@ -217,11 +224,13 @@ def index_arcs(arcs: DataFrame) -> DataFrame:
                     rows.append((path, pos, key and int(key), len(payload), hashlib.sha1(payload).hexdigest()))
                 yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema)
 
-    return arcs.select("path").repartition(_tasks(arcs), "path").mapInArrow(run, INDEX)
+    return spread(arcs).mapInArrow(run, INDEX)
 
 
-def _tasks(arcs: DataFrame) -> int:
-    return max(int(arcs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+def spread(archives: DataFrame) -> DataFrame:
+    """The paths of a manifest, dealt out one by one over as many tasks as there are archives, or else a few a core."""
+    most = 4 * int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return archives.select("path").repartition(max(1, min(archives.count(), most)))
 
 
 def with_revisits(index: DataFrame, least: int = 1000) -> DataFrame:
@@ -249,12 +258,12 @@ def arcs_to_warcs(arcs: DataFrame, least: int = 1000) -> DataFrame:
 
         table = pa.Table.from_batches(list(batches))  # the records of one archive, bounded by its size
         source = table.column("path")[0].as_py()
-        first = dict(zip(table.column("pos").to_pylist(), table.column("first").to_pylist(), strict=True))
+        known = {pos: (digest, first) for pos, digest, first in zip(*(table.column(c).to_pylist() for c in ("pos", "digest", "first")), strict=True)}
         out, count = [], 0
         for pos, record in enumerate(parse_arc(read_file(source))):
             headers, head, payload = http_parts(record["body"])
             key = headers.get("x-record-key")
-            digest = hashlib.sha1(payload).hexdigest()
+            digest, again = known[pos]
             named = [
                 ("WARC-Record-ID", record_id(digest, key and int(key), f"{source}#{pos}")),
                 ("WARC-Target-URI", record["URL"]),
@@ -263,7 +272,7 @@ def arcs_to_warcs(arcs: DataFrame, least: int = 1000) -> DataFrame:
                 ("WARC-Payload-Digest", f"sha1:{digest}"),
                 ("Content-Type", "application/http; msgtype=response"),
             ]
-            if again := first[pos]:
+            if again:
                 named += [("WARC-Refers-To", record_id(digest, again["key"], f"{again['path']}#{again['pos']}")), ("WARC-Profile", REVISIT_PROFILE)]
                 out.append(_member(warc_record("revisit", named, head)))
             else:
@@ -273,7 +282,8 @@ def arcs_to_warcs(arcs: DataFrame, least: int = 1000) -> DataFrame:
         write_file(path, b"".join(out))
         yield pa.RecordBatch.from_pylist([{"path": path, "records": count}], pa.schema([("path", pa.string()), ("records", pa.int64())]))
 
-    return written(plan.groupBy("path").applyInArrow(_streamed(convert), "path string, records bigint"), "warcs")
+    tasks = max(1, min(arcs.count(), 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return written(plan.repartition(tasks, "path").groupBy("path").applyInArrow(_streamed(convert), "path string, records bigint"), "warcs")
 
 
 def _streamed(convert):
@@ -305,7 +315,7 @@ def read_warcs(warcs: DataFrame) -> DataFrame:
                     rows.append((key_of(headers["WARC-Record-ID"]), size, digest, kind, refers and key_of(refers)))
                 yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema)
 
-    return warcs.select("path").repartition(_tasks(warcs), "path").mapInArrow(run, "key bigint, size bigint, digest string, kind string, refers_to bigint")
+    return spread(warcs).mapInArrow(run, "key bigint, size bigint, digest string, kind string, refers_to bigint")
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ def test_bad_archives(data):
 
 def test_identifiers_hold_keys():
     digest = hashlib.sha1(b"x").hexdigest()
-    for key in (0, 1, 77, (1 << 59) - 1, -5):
+    for key in (0, 1, 77, (1 << 59) - 1, -5, (1 << 63) - 1, -(1 << 63)):
         assert warc.key_of(warc.record_id(digest, key, "p#0")) == key
     assert warc.key_of(warc.record_id(digest, None, "p#0")) is None
 
@@ -48,3 +48,32 @@ def test_round_trip(spark, version):
     assert [r["refers_to"] for r in got if r["size"] == 1000 and r["kind"] == "revisit"] == [7, 7]
     empty = warc.read_warcs(warc.arcs_to_warcs(warc.write_arcs(pages.limit(0))))
     assert empty.count() == 0
+
+
+def test_members_in_slices():
+    import random
+    import zlib
+
+    rng = random.Random(2)
+    parts = [rng.randbytes(n) for n in (0, 10, 5000, 300_000, 1, 4096)]
+    data = b"".join(warc._member(p) for p in parts)
+    found = list(warc.members(data))
+    assert [c for _, _, c in found] == parts
+    assert [data[a : a + n] for a, n, _ in found] == [warc._member(p) for p in parts]
+    with pytest.raises(ValueError):
+        list(warc.members(data[:-1]))
+    packer = zlib.compressobj(9, zlib.DEFLATED, 31)
+    assert [c for _, _, c in warc.members(packer.compress(b"a" * 10**6) + packer.flush())] == [b"a" * 10**6]
+
+
+def test_long_pages_blank_lines_and_large_or_repeated_ids(spark):
+    odd = "HTTP/1.1 200 OK\r\n\r\nx\r\n\r\ny" + "<p>\r\n\r\n</p>" * 200
+    keys = [(1 << 63) - 1, -(1 << 63), 1 << 59, 1 << 62]
+    rows = [(k, "u", odd) for k in keys] + [(8, "v", "z" * 3_000_000), (9, "w", odd), (9, "w", odd), (9, "w", "short")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    warcs = warc.arcs_to_warcs(warc.write_arcs(pages))
+    got = warc.read_warcs(warcs).collect()
+    assert sorted((r["key"], r["size"], r["digest"]) for r in got) == sorted((k, len(h), hashlib.sha1(h.encode()).hexdigest()) for k, _, h in rows)
+    assert {r["refers_to"] for r in got if r["kind"] == "revisit"} == {keys[0]} and sum(r["kind"] == "revisit" for r in got) == 5
+    names = [h["WARC-Record-ID"] for row in warcs.collect() for h, _ in warc.parse_warc(warc.read_file(row["path"]))]
+    assert len(set(names)) == len(rows)
