@@ -1,19 +1,27 @@
 """Finds cropped or edited copies of images by local descriptors.
 
-Each grey image (binary PGM) gives up to CORNERS corners in each cell of about CELL pixels a side, over several scales, with an orientation from
-the intensity centroid; 256 brightness comparisons turned by it form a descriptor. Descriptors are
-indexed in TABLES Hamming tables, keyed by KEY_BITS sampled bits each. A query's descriptors join
-the tables; images that get VOTES of a query's corners are candidates, and the corner pairs of a
-candidate must agree on one similarity transform (geometric consensus).
-
-Images of equal pixels are one class with one index entry, so that no group of copies multiplies. A
-query's own class is found by the hash of its pixels, whatever corners it has.
+Each grey image gives up to CORNERS corners in each cell of about CELL pixels a side, over several
+scales, with an orientation from the intensity centroid; 256 brightness comparisons turned by it form
+a descriptor. The comparisons are picked from a pool, on textures drawn from a seed, so that their bits are even
+and say different things; without that a key of many bits holds little, and everything meets everything.
+
+Descriptors are indexed in TABLES Hamming tables of KEY_BITS bits each, again chosen apart. A query's
+descriptors look their keys up, also with the PROBES least certain bits turned over; hits on an image
+vote by the turn between the two corners, and images of which VOTES corners of a query agree on
+a turn are candidates. The corner pairs of a candidate must agree on one similarity transform (geometric consensus).
+
+An image's payload is decoded and described where its row lies, once: only keys and row numbers are
+shuffled, and descriptors where candidates need them. Images of equal pixels are one class with one index entry, so
+that no group of copies multiplies. A query's own class is found by the hash of its pixels, whatever corners it has.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+import hashlib
+import os
+from collections.abc import Callable, Iterator
+from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -22,20 +30,20 @@ from pyspark.sql import functions as F
 from .common import read, written
 
 CORNERS, CELL, SCALES = 32, 96, (1.0, 0.75, 0.5625)
-TABLES, KEY_BITS, VOTES, INLIERS = 12, 20, 3, 8
-NEAR, TOLERANCE = 60, 4.0
-_R = 9  # patch radius
-_rng = np.random.default_rng(9)
-_TESTS = np.clip(_rng.normal(0, _R / 2.2, (256, 2, 2)), -_R + 1, _R - 1)
-_TURNS = 32
-_KEYS = np.stack([_rng.choice(256, KEY_BITS, replace=False) for _ in range(TABLES)])
-_angle = np.arange(_TURNS) * (2 * np.pi / _TURNS)
-_turned = np.stack([np.stack([_TESTS[..., 0] * np.cos(a) - _TESTS[..., 1] * np.sin(a), _TESTS[..., 0] * np.sin(a) + _TESTS[..., 1] * np.cos(a)], -1) for a in _angle])
-_OFFSETS = np.rint(_turned).astype(np.int64)  # turn, test, end, (x, y)
+TABLES, KEY_BITS, PROBES, VOTES, INLIERS = 8, 24, 2, 2, 8
+NEAR, TOLERANCE, PARTNERS = 60, 4.0, 64
+RADIUS, TESTS, TURNS = 12, 256, 32
 _disc = np.array([(x, y) for x in range(-7, 8) for y in range(-7, 8) if x * x + y * y <= 49])
 _POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
+class Layout(NamedTuple):
+    """ends: (TURNS, TESTS, 2, xy) places compared around a corner; tables: (TABLES, KEY_BITS) tests of each key."""
+
+    ends: np.ndarray
+    tables: np.ndarray
+
+
 def pgm(image: np.ndarray) -> bytes:
     return b"P5 %d %d 255\n" % (image.shape[1], image.shape[0]) + image.astype(np.uint8).tobytes()
 
@@ -62,104 +70,177 @@ def resized(image: np.ndarray, height: int, width: int) -> np.ndarray:
 
 
 def _box(a: np.ndarray, r: int) -> np.ndarray:
-    """Mean over squares of side 2 r + 1, edges repeated."""
+    """Mean over squares of side 2 r + 1, edges repeated, of a float32 array's last two axes."""
     for axis in (-1, -2):
-        pad = [(0, 0)] * a.ndim
-        pad[axis] = (r + 1, r)
-        s = np.cumsum(np.pad(a, pad, mode="edge"), axis=axis, dtype=np.float64)
-        n = a.shape[axis]
-        a = (np.take(s, range(2 * r + 1, 2 * r + 1 + n), axis=axis) - np.take(s, range(n), axis=axis)) / (2 * r + 1)
+        pad, n = [(0, 0)] * a.ndim, a.shape[axis]
+        pad[axis] = (r, r)
+        wide = np.moveaxis(np.pad(a, pad, mode="edge"), axis, 0)
+        total = wide[:n].copy()
+        for k in range(1, 2 * r + 1):
+            total += wide[k : k + n]
+        total *= np.float32(1 / (2 * r + 1))
+        a = np.moveaxis(total, 0, axis)
     return a
 
 
-def describe(stack: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Of each image of a stack of equal sizes: corners (x, y, scale, angle) and 32-byte descriptors."""
-    n, h, w = stack.shape
-    found: list[list] = [[] for _ in range(n)]
-    for scale in SCALES:
+def _corners(stack: np.ndarray, most: int) -> tuple[list[np.ndarray | None], np.ndarray]:
+    """Smoothed levels of a stack, and rows (image, level, y, x on the level, y, x on the image) of its strongest corners."""
+    (_, h, w), margin = stack.shape, RADIUS + 1
+    base, levels, rows = stack.astype(np.float32), [], [np.zeros((0, 7))]
+    for at, scale in enumerate(SCALES):
         sh, sw = round(h * scale), round(w * scale)
-        if min(sh, sw) < 2 * _R + 8:
+        if min(sh, sw) < 2 * margin + 2:
+            levels.append(None)
             continue
-        level = _box(resized(stack.astype(np.float64), sh, sw) if scale != 1 else stack.astype(np.float64), 1)
+        level = _box(resized(base, sh, sw).astype(np.float32) if scale != 1 else base, 1)
+        levels.append(level)
         gy, gx = np.gradient(level, axis=(1, 2))
         xx, yy, xy = _box(gx * gx, 2), _box(gy * gy, 2), _box(gx * gy, 2)
         least = (xx + yy) / 2 - np.sqrt(((xx - yy) / 2) ** 2 + xy * xy)
-        inner = np.full_like(least, -1)
-        m = int(_R * 1.45)  # turned tests stay inside
-        inner[:, m : sh - m, m : sw - m] = least[:, m : sh - m, m : sw - m]
+        inner = least[:, margin : sh - margin, margin : sw - margin]
         peak = inner > 1e-3
         for dy in (-1, 0, 1):
             for dx in (-1, 0, 1):
                 if dy or dx:
-                    peak &= inner >= np.roll(inner, (dy, dx), axis=(1, 2))
-        which, y, x = np.nonzero(peak)
-        if not len(which):
+                    peak &= inner >= least[:, margin + dy : sh - margin + dy, margin + dx : sw - margin + dx]
+        i, y, x = np.nonzero(peak)
+        rows.append(np.column_stack([i, np.full(len(i), at), y + margin, x + margin, (y + margin + 0.5) / scale, (x + margin + 0.5) / scale, inner[i, y, x]]))
+    found = np.concatenate(rows)
+    down, across = max(1, round(h / CELL)), max(1, round(w / CELL))
+    cell = (found[:, 0] * down + found[:, 4] * down // h) * across + found[:, 5] * across // w
+    order = np.lexsort((found[:, 1], found[:, 3], found[:, 2], -found[:, 6], cell))
+    found, cell = found[order], cell[order]
+    begins = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.zeros(0, int)
+    rank = np.arange(len(cell)) - np.repeat(begins, np.diff(np.r_[begins, len(cell)]))
+    return levels, found[rank < most]
+
+
+def _differences(levels: list, rows: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(corners, tests) differences of the compared places, and the corners' angles."""
+    out, angles = np.zeros((len(rows), ends.shape[1]), np.float32), np.zeros(len(rows))
+    for at, level in enumerate(levels):
+        mine = np.flatnonzero(rows[:, 1] == at)
+        if not len(mine):
             continue
-        around = level[which[:, None], y[:, None] + _disc[:, 1], x[:, None] + _disc[:, 0]]
+        i, y, x = (rows[mine, c].astype(np.int64) for c in (0, 2, 3))
+        around = level[i[:, None], y[:, None] + _disc[:, 1], x[:, None] + _disc[:, 0]]
         around = around - around.mean(1, keepdims=True)
-        angle = np.arctan2((around * _disc[:, 1]).sum(1), (around * _disc[:, 0]).sum(1))
-        turn = np.rint(angle / (2 * np.pi / _TURNS)).astype(int) % _TURNS
-        at = _OFFSETS[turn]
-        smooth = _box(level, 1)
-        ends = smooth[which[:, None, None], y[:, None, None] + at[..., 1], x[:, None, None] + at[..., 0]]
-        bits = np.packbits(ends[..., 0] < ends[..., 1], axis=1)
-        rows = np.column_stack([(x + 0.5) / scale, (y + 0.5) / scale, np.full(len(x), 1 / scale), angle])
-        strength = least[which, y, x]
-        for k in range(len(which)):
-            found[which[k]].append((strength[k], rows[k], bits[k]))
-    out, down, across = [], max(1, round(h / CELL)), max(1, round(w / CELL))
-    for corners in found:
-        corners.sort(key=lambda c: (-c[0], *c[1]))
-        held, best = Counter(), []
-        for c in corners:
-            cell = (int(c[1][1] * down / h), int(c[1][0] * across / w))
-            held[cell] += 1
-            if held[cell] <= CORNERS:
-                best.append(c)
-        out.append((np.array([c[1] for c in best]).reshape(-1, 4), np.array([c[2] for c in best], np.uint8).reshape(-1, 32)))
-    return out
-
-
-def table_keys(bits: np.ndarray) -> np.ndarray:
-    """(descriptors, TABLES) keys that hold the table's number."""
-    plain = np.unpackbits(bits, axis=1)[:, _KEYS].astype(np.int64)
-    return (plain << np.arange(KEY_BITS)).sum(2) + (np.arange(TABLES, dtype=np.int64) << KEY_BITS)
-
-
-def consensus(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[int, float, float, float, float]:
-    """(inliers, scale, angle, dx, dy) of the best similarity transform from a's corners to b's.
-
-    Corner pairs are mutual nearest descriptors within NEAR bits; each pair proposes the transform of its
-    positions, scales and orientations, and all pairs vote; the winner is fitted again to its voters.
+        angles[mine] = np.arctan2(around @ _disc[:, 1], around @ _disc[:, 0])
+        turned = ends[np.rint(angles[mine] / (2 * np.pi / TURNS)).astype(int) % TURNS]
+        values = level[i[:, None, None], y[:, None, None] + turned[..., 1], x[:, None, None] + turned[..., 0]]
+        out[mine] = values[..., 0] - values[..., 1]
+    return out, angles
+
+
+def _apart(likeness: np.ndarray, order: np.ndarray, count: int, allowed: float = 0.1) -> list[int]:
+    """The first of order that are alike by less than allowed with all before, which is raised until there are count."""
+    chosen: list[int] = []
+    worst = np.zeros(len(likeness))
+    while len(chosen) < count:
+        for k in order.tolist():
+            if len(chosen) < count and worst[k] < allowed:
+                chosen.append(k)
+                worst = np.maximum(worst, likeness[k])
+        allowed += 0.05
+    return chosen
+
+
+@cache
+def layout(seed: int = 9, pool: int = 1500) -> Layout:
+    """Tests and keys whose bits are even and little correlated over the corners of textures drawn from the seed."""
+    rng = np.random.default_rng(seed)
+    radius, angle = RADIUS * np.sqrt(rng.random((pool, 2))), 2 * np.pi * rng.random((pool, 2))
+    places = np.stack([radius * np.cos(angle), radius * np.sin(angle)], -1)
+    turn = np.arange(TURNS) * (2 * np.pi / TURNS)
+    x, y, c, s = places[..., 0], places[..., 1], np.cos(turn)[:, None, None], np.sin(turn)[:, None, None]
+    ends = np.rint(np.stack([x * c - y * s, x * s + y * c], -1)).astype(np.int64)
+    drawn = np.stack([sum(resized(rng.normal(0, size, (n, n)), 128, 128) for n, size in ((4, 1.0), (8, 0.8), (16, 0.7), (32, 0.6), (64, 0.4))) for _ in range(40)])
+    bits = (_differences(*_corners(128 + 45 * drawn, 60), ends)[0] < 0).astype(np.float32)
+    uneven = np.abs(bits.mean(0) - 0.5)
+    spread = bits.std(0)
+    spread[spread == 0] = np.inf
+    scaled = (bits - bits.mean(0)) / spread
+    likeness = np.abs(scaled.T @ scaled) / len(bits)
+    np.fill_diagonal(likeness, np.inf)  # each at most once
+    order = np.argsort(uneven, kind="stable")
+    kept = np.array(_apart(likeness, order[uneven[order] < 0.15], TESTS))
+    among = likeness[np.ix_(kept, kept)]
+    tables = np.array([_apart(among, rng.permutation(TESTS), KEY_BITS) for _ in range(TABLES)])
+    return Layout(ends[:, kept], tables)
+
+
+class Described(NamedTuple):
+    """points: (x, y, scale, angle) of each corner; bits: its 32 bytes; sure: (corners, TESTS) how far each test was from turning over."""
+
+    points: np.ndarray
+    bits: np.ndarray
+    sure: np.ndarray
+
+
+NOTHING = Described(np.zeros((0, 4)), np.zeros((0, TESTS // 8), np.uint8), np.zeros((0, TESTS), np.float32))
+
+
+def describe(stack: np.ndarray, plan: Layout | None = None) -> list[Described]:
+    """The corners of each image of a stack of equal sizes."""
+    plan = plan or layout()
+    levels, rows = _corners(stack, CORNERS)
+    differences, angles = _differences(levels, rows, plan.ends)
+    bits = np.packbits(differences < 0, axis=1)
+    points = np.column_stack([rows[:, 5], rows[:, 4], 1 / np.array(SCALES)[rows[:, 1].astype(int)], angles])
+    bounds = np.searchsorted(rows[:, 0], np.arange(len(stack) + 1))
+    return [Described(points[a:b], bits[a:b], np.abs(differences[a:b])) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
+#: An entry is key << 32 | corner << 8 | angle in 256ths of a turn; the key holds its table's number.
+def entries(found: Described, plan: Layout, probes: int = 0) -> np.ndarray:
+    """The entries of an image's corners in all tables; with 2^probes keys each, the least certain bits turned over."""
+    plain = np.unpackbits(found.bits, axis=1)[:, plan.tables].astype(np.int64)  # corner, table, bit
+    keys = (plain << np.arange(KEY_BITS)).sum(2)[:, :, None]
+    if probes:
+        unsure = np.int64(1) << np.argsort(found.sure[:, plan.tables], axis=2, kind="stable")[:, :, :probes].astype(np.int64)
+        for k in range(probes):
+            keys = np.concatenate([keys, keys ^ unsure[:, :, k : k + 1]], axis=2)
+    keys = keys + (np.arange(TABLES, dtype=np.int64) << KEY_BITS)[:, None]
+    angle = np.floor(found.points[:, 3] / (2 * np.pi) * 256).astype(np.int64) % 256
+    corner = np.arange(len(found.points), dtype=np.int64) << 8 | angle
+    return (keys << 32 | corner[:, None, None]).ravel()
+
+
+def consensus(a: tuple, b: tuple) -> tuple[int, float, float, float, float]:
+    """(inliers, scale, angle, dx, dy) of the best similarity transform from a's corners to b's; each: (points, bits, ...).
+
+    Corner pairs are mutual nearest descriptors within NEAR bits. Two of them propose the transform of their
+    positions if the orientations allow it (each with PARTNERS others, evenly spread, or with all if there are no
+    more), and all vote; the winner is fitted again to its voters.
     """
-    (pa, da), (pb, db) = a, b
+    (pa, da), (pb, db) = a[:2], b[:2]
     if not len(pa) or not len(pb):
         return 0, 1.0, 0.0, 0.0, 0.0
     step = max(1, 4_000_000 // (32 * len(db)))
     distance = np.concatenate([_POPCOUNT[da[at : at + step, None, :] ^ db[None, :, :]].sum(2, dtype=np.int16) for at in range(0, len(da), step)])
-    to = distance.argmin(1)
-    back = distance.argmin(0)
-    pairs = [(i, j) for i, j in enumerate(to) if distance[i, j] <= NEAR and back[j] == i]
-    if not pairs:
+    to, back = distance.argmin(1), distance.argmin(0)
+    ia = np.flatnonzero((distance[np.arange(len(da)), to] <= NEAR) & (back[to] == np.arange(len(da))))
+    if not len(ia):
         return 0, 1.0, 0.0, 0.0, 0.0
-    ia, ib = np.array(pairs).T
+    ib, n = to[ia], len(ia)
     za, zb = pa[ia, 0] + 1j * pa[ia, 1], pb[ib, 0] + 1j * pb[ib, 1]
+    twist = np.exp(1j * (pa[ia, 3] - pb[ib, 3]))
+    strides = np.unique(np.linspace(1, n - 1, min(PARTNERS, n - 1)).astype(int)) if n > 1 else np.zeros(0, int)
     best, mask = 0, None
-    # pairs of matches fix the transform better than single orientations do
-    for i in range(len(za)):
-        for j in range(i + 1, len(za)):
-            gap = za[j] - za[i]
-            if abs(gap) < 8:
-                continue
-            factor = (zb[j] - zb[i]) / gap
-            if not 0.4 < abs(factor) < 2.5:
-                continue
-            turn = np.angle(factor * np.exp(1j * (pa[ia[i], 3] - pb[ib[i], 3])))
-            if abs(turn) > 0.5:
-                continue
-            near = np.abs(factor * (za - za[i]) + zb[i] - zb) < TOLERANCE
-            if near.sum() > best:
-                best, mask = int(near.sum()), near
+    for stride in strides:
+        j = (np.arange(n) + stride) % n
+        gap = za[j] - za
+        far = np.flatnonzero(np.abs(gap) >= 8)
+        factor = (zb[j] - zb)[far] / gap[far]
+        fits = (np.abs(factor) > 0.4) & (np.abs(factor) < 2.5)
+        fits[fits] = np.abs(np.angle(factor[fits] * twist[far][fits])) <= 0.5
+        far, factor = far[fits], factor[fits]
+        if len(far):
+            near = np.abs(factor[:, None] * (za[None, :] - za[far, None]) + zb[far, None] - zb[None, :]) < TOLERANCE
+            votes = near.sum(1)
+            top = int(votes.argmax())
+            if votes[top] > best:
+                best, mask = int(votes[top]), near[top]
     if mask is None:
         return 1, 1.0, 0.0, 0.0, 0.0
     x, y = za[mask], zb[mask]
@@ -172,88 +253,94 @@ def consensus(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]
 
 # ---- Spark --------------------------------------------------------------------------------------
 
-FOUND = "id bigint, points binary, bits binary, keys array<bigint>"
+Decode = Callable[[int, object], "np.ndarray | None"]
+FOUND = "id bigint, r bigint, h binary, n int, points binary, bits binary, entries array<bigint>"
+
 
+def decoded(_: int, payload: bytes | None) -> np.ndarray | None:
+    return parse_pgm(payload) if payload else None
 
-def described(images: DataFrame) -> DataFrame:
-    """(id, points, bits, keys) from (id, image); null or empty images have no corners."""
+
+def described(images: DataFrame, decode: Decode, probes: int = 0) -> DataFrame:
+    """(id, r, h, n, points, bits, entries) from (id, image): r numbers the row, h hashes its pixels, n counts its corners.
+
+    Rows without an id or an image are left out; an image is what decode makes of the payload.
+    """
+    plan = layout()
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
+        names = ["id", "r", "h", "n", "points", "bits", "entries"]
         for batch in batches:
-            ids, data = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            out: list = [(np.zeros((0, 4)), np.zeros((0, 32), np.uint8))] * len(ids)
-            shapes: dict[tuple, list[int]] = {}
-            decoded = [parse_pgm(d) if d else None for d in data]
-            for k, image in enumerate(decoded):
-                if image is not None:
+            for at in range(0, batch.num_rows, 64):
+                some = batch.slice(at, 64)
+                images = {k: image for k, (key, data) in enumerate(zip(*(c.to_pylist() for c in some.columns), strict=True)) if (image := decode(key, data)) is not None}
+                ids, found, shapes = some.column(0).to_pylist(), {}, {}
+                for k, image in images.items():
                     shapes.setdefault(image.shape, []).append(k)
-            for rows in shapes.values():
-                for at in range(0, len(rows), 64):
-                    some = rows[at : at + 64]
-                    for k, found in zip(some, describe(np.stack([decoded[k] for k in some])), strict=True):
-                        out[k] = found
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(ids, pa.int64()),
-                    pa.array([p.astype("<f8").tobytes() for p, _ in out], pa.binary()),
-                    pa.array([b.tobytes() for _, b in out], pa.binary()),
-                    pa.array([table_keys(b).ravel() for _, b in out], pa.list_(pa.int64())),
-                ],
-                names=["id", "points", "bits", "keys"],
-            )
-
-    return images.select("id", "image").mapInArrow(run, FOUND)
-
-
-def find_copies(images: DataFrame, queries: DataFrame, votes: int = VOTES, inliers: int = INLIERS) -> DataFrame:
+                for rows in shapes.values():
+                    found |= dict(zip(rows, describe(np.stack([images[k] for k in rows]), plan) if min(images[rows[0]].shape) else [NOTHING] * len(rows), strict=True))
+                numbers = np.frombuffer(os.urandom(8 * len(found)), "<i8")
+                rows = [
+                    (ids[k], r, hashlib.sha256(pgm(images[k])).digest(), len(f.points), f.points.astype("<f4").tobytes(), f.bits.tobytes(), entries(f, plan, probes))
+                    for (k, f), r in zip(sorted(found.items()), numbers.tolist(), strict=True)
+                ]
+                yield pa.RecordBatch.from_arrays([pa.array([row[c] for row in rows], kind) for c, kind in enumerate(kinds)], names=names)
+
+    rows = images.where("id IS NOT NULL").select(F.col("id").cast("bigint").alias("id"), "image")
+    return rows.mapInArrow(run, FOUND)
+
+
+def find_copies(images: DataFrame, queries: DataFrame, votes: int = VOTES, inliers: int = INLIERS, decode: Decode = decoded, decode_query: Decode = decoded) -> DataFrame:
     """(query_id, match_id, copies, inliers, scale, angle, dx, dy) of each copy found.
 
-    images, queries: (id, image). match_id is the least id of the images with the match's pixels and
+    images, queries: (id, image), the image as decode reads it (a binary PGM unless said otherwise). match_id is the
+    least id of the images with the match's pixels and
     copies their number; scale, angle and shift map the query onto it. Equal pixels match with the
     unchanged transform and all their corners as inliers, even if these are none. Null ids and images match
-    nothing; repeated rows count as copies; queries of equal id are one query, of its least image; other columns are
+    nothing; repeated rows count as copies; queries of equal id are one query, of the least pixel hash; other columns are
     left out; empty tables give empty results.
     """
-    named = images.where("id IS NOT NULL AND image IS NOT NULL").select(F.col("id").cast("bigint").alias("id"), "image")
-    classes = written(named.groupBy(F.sha2("image", 256).alias("h")).agg(F.min("id").alias("id"), F.count("*").alias("copies")), "image-classes")
-    one = named.select("id", "image", F.sha2("image", 256).alias("h")).join(classes.select("id", "h"), ["id", "h"]).dropDuplicates(["id", "h"])
-    index = written(described(one.select("id", "image")), "image-index")
-    asked = queries.where("id IS NOT NULL AND image IS NOT NULL").select(F.col("id").cast("bigint").alias("id"), "image")
-    asked = asked.groupBy("id").agg(F.min("image").alias("image"))
-    probe = written(described(asked), "image-queries")
-    hashed = asked.select(F.col("id").alias("query_id"), F.sha2("image", 256).alias("h"))
-    equal = written(hashed.join(classes, "h").select("query_id", F.col("id").alias("match_id"), "copies"), "image-equal")
-    entries = index.select(F.col("id").alias("match_id"), F.explode("keys").alias("key"))
-    probes = probe.select(F.col("id").alias("query_id"), F.posexplode("keys").alias("k", "key")).select("query_id", F.floor(F.col("k") / TABLES).alias("corner"), "key")
-    hits = probes.join(entries, "key").groupBy("query_id", "match_id", "corner").agg(F.count("*").alias("n"))
-    candidates = written(hits.groupBy("query_id", "match_id").agg(F.count("*").alias("votes")).where(F.col("votes") >= votes), "image-candidates")
-    left = probe.select(F.col("id").alias("query_id"), F.col("points").alias("qp"), F.col("bits").alias("qb"))
-    right = index.select(F.col("id").alias("match_id"), F.col("points").alias("mp"), F.col("bits").alias("mb"))
-    candidates = candidates.join(equal, ["query_id", "match_id"], "left_anti")
-    paired = candidates.join(left, "query_id").join(right, "match_id").select("query_id", "match_id", "qp", "qb", "mp", "mb")
+    index = written(described(images, decode), "image-index")
+    # one row of each class of equal pixels: its least id
+    classes = written(index.groupBy("h").agg(F.min(F.struct("id", "r")).alias("one"), F.count("*").alias("copies")).select("h", "one.id", "one.r", "copies"), "image-classes")
+    asked = written(described(queries, decode_query, PROBES), "image-queries")
+    probe = asked.join(asked.groupBy("id").agg(F.min(F.struct("h", "r")).alias("one")).select("one.r"), "r", "left_semi").withColumnRenamed("id", "query_id")
+    equal = probe.select("query_id", "h", F.col("n").alias("inliers")).join(classes, "h").select("query_id", "r", "inliers")
+
+    table = index.select("r", "entries").join(classes.select("r"), "r", "left_semi").select("r", F.explode("entries").alias("e"))
+    looked = probe.select("query_id", F.explode("entries").alias("q"))
+    hits = looked.join(table, F.shiftright("q", 32) == F.shiftright("e", 32))
+    turn = (F.col("e").bitwiseAND(255) - F.col("q").bitwiseAND(255) + 256) % 256  # of 256; 16 bins and 16 between them
+    bins = F.array(F.floor(turn / 16), 16 + F.floor((turn + 8) % 256 / 16))
+    corner = F.shiftright("q", 8).bitwiseAND((1 << 24) - 1)
+    # a pair of images has boundedly many hits: by pair they make one exchange for all three counts
+    agreeing = hits.select("query_id", "r", corner.alias("corner"), F.explode(bins).alias("bin")).repartition("query_id", "r").distinct()
+    chosen = agreeing.groupBy("query_id", "r", "bin").count().where(F.col("count") >= votes).select("query_id", "r").distinct()
+    candidates = written(chosen.join(equal, ["query_id", "r"], "left_anti"), "image-candidates")
+    left = probe.select("query_id", F.col("points").alias("qp"), F.col("bits").alias("qb"))
+    right = index.select("r", F.col("points").alias("mp"), F.col("bits").alias("mb"))
+    paired = candidates.join(left, "query_id").join(right, "r").select("query_id", "r", "qp", "qb", "mp", "mb")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        opened = lambda p, b: (np.frombuffer(p, "<f8").reshape(-1, 4), np.frombuffer(b, np.uint8).reshape(-1, 32))
+        opened = lambda p, b: (np.frombuffer(p, "<f4").reshape(-1, 4).astype(np.float64), np.frombuffer(b, np.uint8).reshape(-1, TESTS // 8))
         for batch in batches:
             rows = []
             for q, m, qp, qb, mp, mb in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 rows.append((q, m, *consensus(opened(qp, qb), opened(mp, mb))))
-            names = ["query_id", "match_id", "inliers", "scale", "angle", "dx", "dy"]
+            names = ["query_id", "r", "inliers", "scale", "angle", "dx", "dy"]
             kinds = [pa.int64()] * 3 + [pa.float64()] * 4
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=names)
 
-    agreed = paired.mapInArrow(run, "query_id bigint, match_id bigint, inliers bigint, scale double, angle double, dx double, dy double")
-    kept = agreed.where(F.col("inliers") >= inliers)
-    sizes = classes.groupBy("id").agg(F.sum("copies").alias("copies"))
-    near = kept.join(sizes, kept["match_id"] == sizes["id"]).select("query_id", "match_id", "copies", "inliers", "scale", "angle", "dx", "dy")
-    corners = probe.select(F.col("id").alias("query_id"), F.floor(F.length("bits") / 32).alias("inliers"))
+    agreed = paired.mapInArrow(run, "query_id bigint, r bigint, inliers bigint, scale double, angle double, dx double, dy double")
     one, zero = F.lit(1.0), F.lit(0.0)
-    same = equal.join(corners, "query_id").select("query_id", "match_id", "copies", "inliers", one.alias("scale"), zero.alias("angle"), zero.alias("dx"), zero.alias("dy"))
-    return near.unionByName(same)
+    same = equal.select("query_id", "r", F.col("inliers").cast("bigint"), one.alias("scale"), zero.alias("angle"), zero.alias("dx"), zero.alias("dy"))
+    named = classes.select("r", F.col("id").alias("match_id"), "copies")
+    return agreed.where(F.col("inliers") >= inliers).unionByName(same).join(named, "r").select("query_id", "match_id", "copies", "inliers", "scale", "angle", "dx", "dy")
 
 
 # ---- the query's images -------------------------------------------------------------------------
@@ -283,29 +370,24 @@ def edited(image: np.ndarray, kind: int) -> np.ndarray:
     return (small + np.random.default_rng(1).normal(0, 3, small.shape)).clip(0, 255).astype(np.uint8)
 
 
-def pictures(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", edit: bool = False) -> DataFrame:
-    """(id, image) drawn from vectors, edited by id if asked for; a null vector has a null image."""
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
+def picture_of(_: int, vector: list[float] | None) -> np.ndarray | None:
+    return None if vector is None else picture(vector)
 
-        for batch in batches:
-            ids, out = batch.column(0).to_pylist(), []
-            for key, vector in zip(ids, batch.column(1).to_pylist(), strict=True):
-                image = None if vector is None else picture(vector)
-                out.append(None if image is None else pgm(edited(image, (key or 0) // 100 % 4) if edit else image))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["id", "image"])
 
-    # drawing costs far more than moving a vector: a small file is spread over all tasks first
-    tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).alias("v")).repartition(tasks, "id")
-    return rows.mapInArrow(run, "id bigint, image binary")
+def edited_picture_of(key: int, vector: list[float] | None) -> np.ndarray | None:
+    """The vector's picture, edited by id."""
+    return None if vector is None else edited(picture(vector), key // 100 % 4)
 
 
 def op3_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edited pictures of the vectors with ids divisible by 100, searched among the pictures of all."""
-    vectors = read(spark, sf_dir, "embeddings")
-    return find_copies(pictures(vectors), pictures(vectors.where("vec_id % 100 = 0"), edit=True))
+    """Edited pictures of the vectors with ids divisible by 100, searched among the pictures of all.
+
+    The tables hold no images, so they are drawn from vectors, where they are described.
+    """
+    vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("bigint").alias("id"), F.col("embedding").alias("image"))
+    # drawing and describing cost far more than moving a vector: a small file is spread over all tasks first
+    vectors = vectors.repartition(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), "id")
+    return find_copies(vectors, vectors.where("id % 100 = 0"), decode=picture_of, decode_query=edited_picture_of)
 
 
 QUERIES = {"op3_image_copies": op3_image_copies}
