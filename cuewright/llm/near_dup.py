@@ -1,14 +1,14 @@
 """MinHash near-duplicate detection with b-bit signatures.
 
-A text's set is its distinct five-word shingles. Each set gets BANDS x ROWS minima of random
-permutations. Rows of a band are hashed to a band key; texts that share one are candidates. Of each
+A text's set is its distinct five-word shingles. Each set gets COARSE minima of random
+permutations, cut into bands. Rows of a band are hashed to a band key; texts that share one are candidates. Of each
 minimum BITS bits are kept; packed into longs, the signatures of two candidates give by bit counts
 the share E of equal minima, which corrected for chance agreement estimates their similarity:
 J = (E - C) / (1 - C) with C = 2^-BITS. Candidates whose estimate isn't far below the threshold, and whose
 sets aren't too unequal in size to reach it, are confirmed on their full sets.
 
-Bands of ROWS = 6 and BANDS = 64 miss a pair at similarity 0.75 with probability 4e-6; the slack of
-the estimate is four and a half deviations, 3e-6.
+Bands are as long as the threshold allows (band_rows): at 0.75 there are 64 of 6 minima, which miss a pair right
+at the threshold with probability 4e-6; the slack of the estimate is four and a half deviations, 3e-6.
 
 Never all pairs of a group: texts of equal sets are one class from the start. Every class is then
 compared with one member of each of its band groups, by a hash of its own order in each band, links are confirmed, and components
@@ -27,17 +27,25 @@ from pyspark.sql import functions as F
 
 from .common import read, written
 
-WORDS, ROWS, BANDS, THRESHOLD = 5, 6, 64, 75
+WORDS, THRESHOLD = 5, 75
 BITS = 2
 #: Minima of the signatures that go with the bands, and of the finer ones where groups stay apart.
-COARSE, FINE = ROWS * BANDS, 1920
+COARSE, FINE = 384, 1920
+#: The chance with which bands may miss a pair right at the threshold.
+MISSED = 5e-6
 _CHANCE = 0.5**BITS
 
 
-def least_estimate(minima: int) -> float:
+def band_rows(threshold: int) -> int:
+    """The most minima a band can have: COARSE of them in such bands miss hardly a pair at the threshold."""
+    fitting_ = [k for k in range(1, COARSE + 1) if COARSE % k == 0 and (1 - (threshold / 100) ** k) ** (COARSE // k) <= MISSED]
+    return max(fitting_, default=1)
+
+
+def least_estimate(minima: int, threshold: int = THRESHOLD) -> float:
     """Estimates under this can't be confirmed, but for a chance of 3e-6."""
-    equal = THRESHOLD / 100 * (1 - _CHANCE) + _CHANCE
-    return THRESHOLD / 100 - 4.5 * (equal * (1 - equal) / minima) ** 0.5 / (1 - _CHANCE)
+    equal = threshold / 100 * (1 - _CHANCE) + _CHANCE
+    return threshold / 100 - 4.5 * (equal * (1 - equal) / minima) ** 0.5 / (1 - _CHANCE)
 
 
 #: Members of a pivot's verification group: the pivot's set is sent once for so many.
@@ -104,12 +112,12 @@ def minima(found: np.ndarray, n: int = COARSE) -> np.ndarray:
     return best
 
 
-def signature(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def signature(found: np.ndarray, per_band: int = 6) -> tuple[np.ndarray, np.ndarray]:
     """(band keys, low bits of the minima packed into longs)."""
     best = minima(found)
-    rows = best.reshape(BANDS, ROWS).astype(np.uint64)
-    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for k in range(ROWS):
+    rows = best.reshape(-1, per_band).astype(np.uint64)
+    keys = np.arange(1, len(rows) + 1, dtype=np.uint64)
+    for k in range(per_band):
         keys = _stir(keys + rows[:, k])
     return keys.view(np.int64), packed(best)
 
@@ -137,8 +145,9 @@ def fine_signatures(texts: DataFrame) -> DataFrame:
     return texts.select("id", "t").mapInArrow(run, "id bigint, fine array<bigint>").dropDuplicates(["id"])
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def sketches(docs: DataFrame, id_col: str, text_col: str, threshold: int = THRESHOLD) -> DataFrame:
     """(id, n, set, bands, bits) of each row; set is a 128-bit hash of the shingle set, null if it is empty."""
+    per_band = band_rows(threshold)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -151,7 +160,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 found = shingles(text)
                 n.append(len(found))
                 names.append(xxh3_128_hexdigest(found.tobytes()) if len(found) else None)
-                keys, packed = signature(found) if len(found) else (None, None)
+                keys, packed = signature(found, per_band) if len(found) else (None, None)
                 bands.append(keys)
                 bits.append(packed)
             yield pa.RecordBatch.from_arrays(
@@ -184,9 +193,9 @@ def estimate(a: Column, b: Column, n: int = COARSE) -> Column:
     return (1 - unequal / F.lit(float(n)) - _CHANCE) / (1 - _CHANCE)
 
 
-def fitting(n: Column, m: Column) -> Column:
+def fitting(n: Column, m: Column, threshold: int) -> Column:
     """Whether sets of such sizes can reach the threshold."""
-    return 100 * F.least(n, m) >= THRESHOLD * F.greatest(n, m)
+    return 100 * F.least(n, m) >= threshold * F.greatest(n, m)
 
 
 def members(classes: DataFrame) -> DataFrame:
@@ -197,17 +206,17 @@ def members(classes: DataFrame) -> DataFrame:
     return keys.join(shared, "band").select("band", "id", F.col("m.id").alias("pivot"))
 
 
-def pivot_pairs(groups: DataFrame, bits: DataFrame) -> DataFrame:
+def pivot_pairs(groups: DataFrame, bits: DataFrame, threshold: int) -> DataFrame:
     """(a, b, e): each class with the pivot of each of its groups, as far as the estimate e allows."""
     pairs = groups.where("id <> pivot").select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")).distinct()
-    return estimated(pairs, bits)
+    return estimated(pairs, bits, threshold)
 
 
-def estimated(pairs: DataFrame, bits: DataFrame) -> DataFrame:
+def estimated(pairs: DataFrame, bits: DataFrame, threshold: int) -> DataFrame:
     left = bits.select(F.col("id").alias("a"), F.col("bits").alias("x"), F.col("n").alias("nx"))
     right = bits.select(F.col("id").alias("b"), F.col("bits").alias("y"), F.col("n").alias("ny"))
-    joined = pairs.join(left, "a").join(right, "b").where(fitting(F.col("nx"), F.col("ny")))
-    return joined.select("a", "b", estimate(F.col("x"), F.col("y")).alias("e")).where(F.col("e") >= least_estimate(COARSE))
+    joined = pairs.join(left, "a").join(right, "b").where(fitting(F.col("nx"), F.col("ny"), threshold))
+    return joined.select("a", "b", estimate(F.col("x"), F.col("y")).alias("e")).where(F.col("e") >= least_estimate(COARSE, threshold))
 
 
 # ---- confirmation -------------------------------------------------------------------------------
@@ -286,7 +295,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     and is kept. Other columns are left out; an empty table gives an empty result.
     """
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(text_col, F.lit("")).alias("t"))
-    sketch = written(sketches(docs, id_col, text_col), "sketches")
+    sketch = written(sketches(docs, id_col, text_col, threshold), "sketches")
     known = sketch.where("id IS NOT NULL AND set IS NOT NULL")
     ranked = known.groupBy("set").agg(F.min("id").alias("rep"))
     chosen = ranked.select("set", F.col("rep").alias("id"))
@@ -302,7 +311,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     same_id = sets.join(ranked, "set").groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"), F.collect_set("rep").alias("all")).where("a <> b")
     joined = same_id.select("a", F.explode("all").alias("b")).where("a <> b")
 
-    pairs = written(pivot_pairs(groups, bits), "pivots")
+    pairs = written(pivot_pairs(groups, bits, threshold), "pivots")
     near = texts_of(texts, pairs)
     # first the likeliest pivot of each, then those that would still join two components
     ends = pairs.select("a", "b", "e", F.explode(F.array("a", "b")).alias("id"))
@@ -314,7 +323,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = written(links.unionByName(links_of(rest, near)), "links")
     roots = components(links)
     tested = pairs.select("a", "b")
-    rest = written(strays(groups, roots, bits, texts).join(tested, ["a", "b"], "left_anti"), "strays")
+    rest = written(strays(groups, roots, bits, texts, threshold).join(tested, ["a", "b"], "left_anti"), "strays")
     more = None if rest.isEmpty() else links_of(rest, texts_of(texts, rest))
     if more is not None and not more.isEmpty():
         links = written(links.unionByName(more), "links")
@@ -368,7 +377,7 @@ def across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return joined.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
 
 
-def strays(groups: DataFrame, roots: DataFrame, coarse: DataFrame, texts: DataFrame) -> DataFrame:
+def strays(groups: DataFrame, roots: DataFrame, coarse: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     """(a, b): members of a band group outside its chief component with members of other components there.
 
     These are told by the finer signatures, so that what can't be a link is seldom sent to confirmation; a
@@ -384,9 +393,9 @@ def strays(groups: DataFrame, roots: DataFrame, coarse: DataFrame, texts: DataFr
     names = {"id": "i", "root": "r", "n": "n", "bits": "c", "fine": "f", "bands": "b"}
     own = rows.where("root <> chief").select(F.col("band").alias("sband"), *[F.col(c).alias(f"s{k}") for c, k in names.items()])
     other = rows.select("band", (F.col("root") == F.col("chief")).alias("in_chief"), *[F.col(c).alias(f"o{k}") for c, k in names.items()])
-    apart = (F.col("sr") != F.col("or")) & (F.col("in_chief") | (F.col("si") < F.col("oi"))) & fitting(F.col("sn"), F.col("on"))
+    apart = (F.col("sr") != F.col("or")) & (F.col("in_chief") | (F.col("si") < F.col("oi"))) & fitting(F.col("sn"), F.col("on"), threshold)
     # the short signatures spare most pairs the long ones
-    like = (estimate(F.col("sc"), F.col("oc")) >= least_estimate(COARSE)) & (estimate(F.col("sf"), F.col("of"), FINE) >= least_estimate(FINE))
+    like = (estimate(F.col("sc"), F.col("oc")) >= least_estimate(COARSE, threshold)) & (estimate(F.col("sf"), F.col("of"), FINE) >= least_estimate(FINE, threshold))
     # of a pair without a chief in some of its groups each side is a stray in some: both orders are one
     first = F.array_min(F.array_intersect("sb", "ob")) == F.col("sband")
     hit = own.join(other, (F.col("sband") == F.col("band")) & apart & like & first)

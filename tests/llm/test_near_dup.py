@@ -16,7 +16,7 @@ def brute_set(text):
     return frozenset(tuple(words[i : i + 5]) for i in range(len(words) - 4))
 
 
-def brute(rows):
+def brute(rows, threshold=75):
     """(n_shingles, component_id, links between classes) of each row."""
     sets = [brute_set(t) for _, t in rows]
     root = {i: i for i, _ in rows if i is not None}
@@ -31,7 +31,7 @@ def brute(rows):
             a, b = sets[x], sets[y]
             if rows[x][0] is None or rows[y][0] is None or not a or not b:
                 continue
-            if 100 * len(a & b) >= 75 * len(a | b):
+            if 100 * len(a & b) >= threshold * len(a | b):
                 p, q = find(rows[x][0]), find(rows[y][0])
                 root[max(p, q)] = min(p, q)
     return [(i, len(s), None if i is None else find(i)) for (i, _), s in zip(rows, sets)]
@@ -66,6 +66,24 @@ def test_equals_brute_force(spark, seed):
     assert len({r["component_id"] for r in got}) < len(rows) - 80
 
 
+@pytest.mark.parametrize("threshold", [50, 60, 90])
+def test_other_thresholds(spark, threshold):
+    assert (N.band_rows(50), N.band_rows(75), N.band_rows(90)) == (3, 6, 8)
+    rng = random.Random(threshold)
+    base, rows = ["v%d" % i for i in range(300)], corpus(3)[:90]
+    for k in range(40):  # pairs around the threshold
+        text = [f"{k}{w}" for w in base]
+        other = list(text)
+        share = threshold / 100 + (k % 9 - 4) / 50
+        for at in range(int(296 * (1 - share) / (1 + share) / 5) + 1):
+            other[(at * 7 + rng.randrange(7)) % 300] = "x"
+        rows += [(5000 + 2 * k, " ".join(text)), (5001 + 2 * k, " ".join(other))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = N.near_duplicates(docs, threshold=threshold).collect()
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == Counter(brute(rows, threshold))
+    assert 0 < sum(r["doc_id"] == 5001 + 2 * k and not r["kept"] for r in got for k in range(40)) < 40
+
+
 def test_repeated_ids_and_empty(spark):
     a, b = " ".join("a%d" % i for i in range(40)), " ".join("b%d" % i for i in range(40))
     rows = [(1, a), (1, a), (5, a), (5, b), (7, b), (8, "c")]
