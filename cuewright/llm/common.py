@@ -22,14 +22,23 @@ _temporary: list[tuple[SparkSession, str]] = []
 _results: list[str] = []
 
 
+#: Bytes of an Arrow batch, in the JVM and in Python at once, unless the session sets its own bound.
+BATCH = "8m"
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table; rows go to Python in batches of bounded bytes, as some texts are very long."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder; set to a temporary folder only where the session names none."""
+    """The shared folder; a temporary folder only where a local session names none, else ValueError."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='cuewright-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
