@@ -44,3 +44,8 @@ def conversation_words(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("end_ms") / 1000).alias("end"),
         "speaker_id",
     )
+
+
+def folded_sql(value: str) -> str:
+    """What folded() gives for text of Latin letters that are composed already: of these only ß folds into two."""
+    return f"regexp_replace(replace(lower({value}), 'ß', 'ss'), '[ー〜～・･\\s　!！?？.。,、:：/／「」『』()（）]', '', 'g')"

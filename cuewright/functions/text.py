@@ -8,37 +8,37 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Classes of the clean-up rules, as Java and RE2 both read them.
-EDGE = r"^[\s\x{3000}，、；。]+|[\s\x{3000}，、；。]+$"
+#: White space as str.strip() has it, as the inside of a class that Java and RE2 both read; BLANK: less the line feed.
+BLANK = r"\x{9}\x{B}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+WHITE = r"\x{A}" + BLANK
+#: The clean-up rules in their order, each on every line of a text; those on edges first.
+EDGE = rf"^[{BLANK}，、；。]+|[{BLANK}，、；。]+$"
 SPEAKER_DASH = r"^[ \t\x{3000}]*[-\x{2010}-\x{2015}\x{2212}\x{FF0D}][ \t\x{3000}]*"
 ELLIPSES = r"(\.{3,}|[…⋯])+"
-QUOTE_TAIL = r"[\s\x{3000}，、；。]+([」』])"
+QUOTE_TAIL = rf"[{BLANK}，、；。]+([」』])"
 FULL_WIDTH = r"[ \t\x{3000}]*([，、；。：！？])[ \t\x{3000}]*"
+CLEANING = ((EDGE, ""), (SPEAKER_DASH, "-"), (ELLIPSES, "…"), (QUOTE_TAIL, "$1"), (FULL_WIDTH, "$1"))
 STRIPPED = "ー〜～・･ 　\t\n!！?？.。,、:：/／「」『』()（）"
 SUSPECT = "[A-Za-z]{2,}|[ぁ-ゖァ-ヺー]{2,}"
 FOREIGN = "A-Za-zぁ-ゖァ-ヺー"
 HAN_OR_KANA = "ぁ-ゖァ-ヺ㐀-䶿一-鿿豈-﫿"
 
 
-def clean_line(line: Column) -> Column:
-    """Edge punctuation off, one half-width speaker dash, one ellipsis, no punctuation before a closing
-    quote, no space round full-width punctuation, and full stops as commas; in this order."""
-    for pattern, by in ((EDGE, ""), (SPEAKER_DASH, "-"), (ELLIPSES, "…"), (QUOTE_TAIL, "$1"), (FULL_WIDTH, "$1")):
-        line = F.regexp_replace(line, pattern, by)
-    return F.replace(line, F.lit("。"), F.lit("，"))
-
-
-def each_line(text: Column, change) -> Column:
-    return F.array_join(F.transform(F.split(text, "\n"), change), "\n")
+def stripped(text: Column) -> Column:
+    return F.regexp_replace(text, f"^[{WHITE}]+|[{WHITE}]+$", "")
 
 
 def clean_text(text: Column) -> Column:
-    return each_line(text, clean_line)
+    """Of every line: edge punctuation off, one half-width speaker dash, one ellipsis, no punctuation before a closing
+    quote, no space round full-width punctuation, and full stops as commas; in this order."""
+    for pattern, by in CLEANING:
+        text = F.regexp_replace(text, "(?md)" + pattern, by)  # ^ and $ at line feeds only
+    return F.replace(text, F.lit("。"), F.lit("，"))
 
 
 def without_bare_dashes(text: Column) -> Column:
     """Without the lines that are only a speaker dash."""
-    return F.array_join(F.filter(F.split(text, "\n"), lambda line: F.regexp_replace(line, r"^\s+|\s+$", "") != "-"), "\n")
+    return F.array_join(F.filter(F.split(text, "\n"), lambda line: stripped(line) != "-"), "\n")
 
 
 def soft_breaks(text: Column) -> Column:
@@ -47,8 +47,8 @@ def soft_breaks(text: Column) -> Column:
 
 def file_name(title: Column) -> Column:
     """Letters, digits, underscores and hyphens; runs of hyphens and blanks as one underscore."""
-    kept = F.regexp_replace(title, r"[^\p{L}\p{N}_\s-]", "")
-    return F.regexp_replace(F.regexp_replace(kept, r"^\s+|\s+$", ""), r"[-\s]+", "_")
+    kept = F.regexp_replace(title, rf"[^\p{{L}}\p{{N}}_{WHITE}-]", "")
+    return F.regexp_replace(stripped(kept), f"[-{WHITE}]+", "_")
 
 
 def folded(text: Column) -> Column:
@@ -64,47 +64,75 @@ def folded(text: Column) -> Column:
     return compatible(text)
 
 
-def is_suspect(text: Column, terms: Iterable[str] = ()) -> Column:
-    """A run of two Latin letters or kana is left when whole occurrences of the terms are taken out.
+def without_terms(text: str, terms: list[str]) -> str:
+    """The text less the whole occurrences of each term, in turn.
 
-    Terms go longest first; an occurrence next to another Latin letter or kana is part of a larger word and stays.
+    An occurrence next to another Latin letter or kana is part of a larger word and stays. What a removal brings
+    together is looked at again from there on.
     """
-    left = text
-    for term in sorted(set(terms), key=lambda t: (-len(t), t)):
-        left = F.regexp_replace(left, rf"(?<![{FOREIGN}])\Q{term}\E(?![{FOREIGN}])", "")
-    return F.when(text.rlike(SUSPECT), left.rlike(SUSPECT)).otherwise(False)
+    import re
+
+    foreign = re.compile(f"[{FOREIGN}]")
+    for term in terms:
+        settled, ahead = "", text
+        while (at := ahead.find(term)) >= 0:
+            settled, ahead = settled + ahead[:at], ahead[at:]
+            rest = ahead[len(term) :]
+            if foreign.match(settled[-1:]) or foreign.match(rest[:1]):
+                settled, ahead = settled + ahead[0], ahead[1:]
+            else:
+                ahead = rest
+        text = settled + ahead
+    return text
+
+
+def is_suspect(text: Column, terms: Iterable[str] = ()) -> Column:
+    """A run of two Latin letters or kana is left when whole occurrences of the terms are taken out, the longest terms first."""
+    longest_first = sorted({t for t in terms if t}, key=lambda t: (-len(t), t))
+    if not longest_first:
+        return text.rlike(SUSPECT)
+
+    @F.pandas_udf("string")
+    def left(values: pd.Series) -> pd.Series:
+        return values.map(lambda t: None if t is None else without_terms(t, longest_first))
+
+    return F.when(text.rlike(SUSPECT), left(text).rlike(SUSPECT)).otherwise(False)
 
 
 def name_spacer(units: Iterable[str]):
     """A text function that writes the Latin-holding units canonically, one space from Han and kana.
 
     Blanks inside a unit are tolerated, longer units win; next to a line's edge or punctuation there is no space,
-    next to another letter or digit a space stays if there was one. Works line by line.
+    next to another letter or digit a space stays if there was one. Works line by line: names are looked up in
+    the line without its blanks, which are kept aside by the place they stood before.
     """
     import re
 
-    wanted = {u.strip() for u in units if u and re.search("[A-Za-z]", u)}
-    by_letters = {re.sub(r"[ \t]", "", u): u for u in sorted(wanted)}
+    wanted = sorted({u.strip() for u in units if u and re.search("[A-Za-z]", u)}, key=lambda u: (-len(u), u))
+    by_letters = {"".join(u.split()): u for u in reversed(wanted)}
     if not by_letters:
         return lambda text: text
-    longest_first = sorted(wanted, key=lambda u: (-len(u), u))
-    spelled = ["[ \t]*".join(map(re.escape, re.sub(r"[ \t]", "", u))) for u in longest_first]
-    finder = re.compile(f"([ \t]*)({'|'.join(spelled)})([ \t]*)")
-    cjk = re.compile(f"[{HAN_OR_KANA}]")
+    finder = re.compile("|".join(re.escape("".join(u.split())) for u in wanted))
+    cjk, cell = re.compile(f"[{HAN_OR_KANA}]"), re.compile(r"([ \t]*)([^ \t]|$)")
 
-    def edge(beside: str, blank: str) -> str:
-        if cjk.match(beside):
-            return " "
-        return " " if blank and beside.isalnum() else ""
+    def edge(beside: str, blanks: str) -> str:
+        return " " if cjk.match(beside) or blanks and beside.isalnum() else ""
 
     def spaced(line: str) -> str:
-        out, done = [], 0
-        for hit in finder.finditer(line):
-            left, right = line[hit.start() - 1 : hit.start()] if hit.start() else "", line[hit.end() : hit.end() + 1]
-            name = by_letters[re.sub(r"[ \t]", "", hit[2])]
-            out += [line[done : hit.start()], edge(left, hit[1]), name, edge(right, hit[3])]
-            done = hit.end()
-        return "".join(out) + line[done:]
+        cells = cell.findall(line)  # each character with the blanks before it; the last has no character
+        letters, blanks = "".join(c for _, c in cells), [b for b, _ in cells]
+        out, names = [b + c for b, c in cells], list(finder.finditer(letters))
+        for before, hit in zip([None, *names], names):
+            begin, end = hit.span()
+            beside = letters[begin - 1 : begin] if begin else ""
+            if before is not None and before.end() == begin and blanks[begin]:
+                beside = " "  # the blank went to the name before
+            out[begin] = edge(beside, blanks[begin]) + by_letters[hit[0]]
+            out[begin + 1 : end] = [""] * (end - begin - 1)
+            after = edge(letters[end : end + 1], blanks[end])
+            out[begin] += after
+            out[end] = letters[end : end + 1]
+        return "".join(out)
 
     return lambda text: "\n".join(map(spaced, text.split("\n")))
 
@@ -163,4 +191,4 @@ def source_url(key: Column) -> Column:
 def json_object(text: Column) -> Column:
     """From the first brace to the last, without code fences; text without braces as it is, stripped."""
     inner = F.nullif(F.regexp_extract(text, r"(?s)(\{.*\})", 1), F.lit(""))
-    return F.coalesce(inner, F.regexp_replace(text, r"^\s+|\s+$", ""))
+    return F.coalesce(inner, stripped(text))

@@ -37,7 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder; a temporary folder only where a local session names none, else ValueError."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='cuewright-')}"
         spark.sparkContext.setCheckpointDir(found)

@@ -22,14 +22,37 @@ def left_by_key(expected: DataFrame, output: DataFrame, keys: list[str], order:
 
 
 def problems(source: DataFrame, output: DataFrame, tolerance: int) -> DataFrame:
-    """(chunk, missing, unexpected, duplicated, ok) by timecodes; ok allows so many missing blocks."""
-    wanted = source.select("chunk", "timecode").distinct()
-    got = output.groupBy("chunk", "timecode").agg(F.count("*").alias("n"))
-    both = wanted.withColumn("w", F.lit(1)).join(got, ["chunk", "timecode"], "full_outer")
-    counts = both.groupBy("chunk").agg(
-        F.count_if(F.col("n").isNull()).alias("missing"), F.count_if(F.col("w").isNull()).alias("unexpected"), F.count_if(F.col("n") > 1).alias("duplicated")
+    """(chunk, missing, unexpected, duplicated, delta, ok, errors) of each chunk, by timecodes.
+
+    missing: source blocks without a text; unexpected: output blocks of a foreign timecode; duplicated: timecodes
+    that come more than once; delta: source less output blocks. So many missing blocks and so large a delta are
+    allowed. errors names what isn't, in this order; it is empty if all is well.
+    """
+    known = source.select("chunk", "timecode").distinct().withColumn("w", F.lit(1))
+    got = output.select("chunk", "pos", "timecode").join(known, ["chunk", "timecode"], "left")
+    quoted = F.concat(F.lit("'"), F.col("timecode"), F.lit("'"))
+    twice = got.where("w IS NOT NULL").groupBy("chunk", "timecode").agg(F.count("*").alias("n"))
+    doubles = twice.groupBy("chunk").agg(F.count("*").alias("texts"), F.count_if(F.col("n") > 1).alias("duplicated"), F.array_sort(F.collect_list(F.when(F.col("n") > 1, quoted))).alias("dup"))
+    strange = F.collect_list(F.when(F.col("w").isNull(), F.struct("pos", quoted.alias("t"))))
+    counts = got.groupBy("chunk").agg(F.count("*").alias("m"), F.count_if(F.col("w").isNull()).alias("unexpected"), F.transform(F.array_sort(strange), lambda x: x["t"]).alias("foreign"))
+    met = source.select("chunk", "timecode").join(twice.select("chunk", "timecode", F.lit(1).alias("o")), ["chunk", "timecode"], "left")
+    wanted = met.groupBy("chunk").agg(F.count("*").alias("n"), F.count_if(F.col("o").isNull()).alias("missing"))
+    both = wanted.join(counts, "chunk", "full_outer").join(doubles, "chunk", "left")
+    zero, none = F.lit(0).cast("bigint"), F.array().cast("array<string>")
+    numbers = {c: F.coalesce(c, zero) for c in ("missing", "unexpected", "duplicated", "n", "m")}
+    both = both.select("chunk", *[v.alias(k) for k, v in numbers.items()], F.coalesce("foreign", none).alias("foreign"), F.coalesce("dup", none).alias("dup"))
+    both = both.withColumn("delta", F.col("n") - F.col("m"))
+    said = F.concat(
+        F.transform("foreign", lambda t: F.concat(F.lit("Unexpected output timecode "), t)),
+        F.array_compact(
+            F.array(
+                F.when(F.col("duplicated") > 0, F.concat(F.lit("Duplicate output timecodes: "), F.array_join("dup", ", "))),
+                F.when(F.col("missing") > tolerance, F.format_string(f"Missing %d source block(s) exceeds tolerance {tolerance}", "missing")),
+                F.when(F.abs("delta") > tolerance, F.format_string(f"Output block count delta %d exceeds tolerance {tolerance} (output %d vs input %d)", "delta", "m", "n")),
+            )
+        ),
     )
-    return counts.withColumn("ok", (F.col("missing") <= tolerance) & (F.col("unexpected") == 0) & (F.col("duplicated") == 0))
+    return both.select("chunk", "missing", "unexpected", "duplicated", "delta", (F.size(said) == 0).alias("ok"), F.array_join(said, "; ").alias("errors"))
 
 
 def by_position(source: DataFrame, output: DataFrame) -> DataFrame:
@@ -42,7 +65,7 @@ def by_timecode_subset(source: DataFrame, output: DataFrame) -> DataFrame:
     """Text by timecode where the output's timecodes are distinct, known and fewer than the source's blocks."""
     known = output.join(source.select("chunk", "timecode").distinct().withColumn("k", F.lit(1)), ["chunk", "timecode"], "left")
     sound = known.groupBy("chunk").agg(F.count("*").alias("n"), F.countDistinct("timecode").alias("d"), F.count("k").alias("k")).where("n = d AND n = k")
-    partial = sound.join(source.groupBy("chunk").agg(F.countDistinct("timecode").alias("s")), "chunk").where("n < s").select("chunk")
+    partial = sound.join(source.groupBy("chunk").agg(F.count("*").alias("s")), "chunk").where("n <> s").select("chunk")
     joined = source.join(partial, "chunk", "left_semi").join(output.select("chunk", "timecode", "text"), ["chunk", "timecode"], "left")
     return joined.select("chunk", "pos", "timecode", F.coalesce("text", F.lit("")).alias("text"))
 
@@ -80,14 +103,29 @@ def by_anchors(source: DataFrame, output: DataFrame, tolerance: int) -> DataFram
     return found.join(idle, "chunk", "left_anti")
 
 
-def by_mapping(source: DataFrame, output: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Text by (chunk, output_pos, source_pos) rows; chunks that map an unknown or one source block twice are left out."""
-    known = mapping.join(source.select("chunk", F.col("pos").alias("source_pos"), F.lit(1).alias("s")), ["chunk", "source_pos"], "left").join(
-        output.select("chunk", F.col("pos").alias("output_pos"), "text"), ["chunk", "output_pos"], "left"
-    )
-    sound = known.groupBy("chunk").agg(F.count("*").alias("n"), F.count("s").alias("k"), F.count("text").alias("t"), F.countDistinct("source_pos").alias("d")).where("n = k AND n = t AND n = d")
-    texts = known.select("chunk", F.col("source_pos").alias("pos"), "text")
-    joined = source.join(sound.select("chunk"), "chunk", "left_semi").join(texts, ["chunk", "pos"], "left")
+def mapping_errors(source: DataFrame, output: DataFrame, mapping: DataFrame) -> DataFrame:
+    """(chunk, error): the first wrong pair, by at, of each chunk of (chunk, at, output_pos, source_pos) rows.
+
+    A pair is wrong if it names an unknown block or a source block that an earlier pair named.
+    """
+    known = mapping.join(source.select("chunk", F.col("pos").alias("source_pos"), F.lit(1).alias("s")), ["chunk", "source_pos"], "left")
+    known = known.join(output.select("chunk", F.col("pos").alias("output_pos"), F.lit(1).alias("t")), ["chunk", "output_pos"], "left")
+    nth = F.row_number().over(Window.partitionBy("chunk", "source_pos").orderBy("at"))
+    error = F.when(
+        F.col("s").isNull() | F.col("t").isNull(), F.format_string("Invalid block assignment output_index=%d, source_index=%d", "output_pos", "source_pos")
+    ).when(nth > 1, F.format_string("Duplicate assignment for source index %d", "source_pos"))
+    found = known.select("chunk", "at", error.alias("error")).where("error IS NOT NULL")
+    return found.groupBy("chunk").agg(F.min(F.struct("at", "error")).alias("m")).select("chunk", "m.error")
+
+
+def by_mapping(source: DataFrame, output: DataFrame, mapping: DataFrame, answered: DataFrame | None = None) -> DataFrame:
+    """Text by (chunk, at, output_pos, source_pos) rows, '' where no pair names a block; chunks with mapping_errors are left out.
+
+    answered: the chunks (chunk) that have a mapping, which may be empty; without it those with rows.
+    """
+    chunks = (mapping if answered is None else answered).select("chunk").distinct().join(mapping_errors(source, output, mapping), "chunk", "left_anti")
+    texts = mapping.join(output.select("chunk", F.col("pos").alias("output_pos"), "text"), ["chunk", "output_pos"]).select("chunk", F.col("source_pos").alias("pos"), "text")
+    joined = source.join(chunks, "chunk", "left_semi").join(texts, ["chunk", "pos"], "left")
     return joined.select("chunk", "pos", "timecode", F.coalesce("text", F.lit("")).alias("text"))
 
 

@@ -17,21 +17,22 @@ def chunk_numbers(blocks: DataFrame, key: str, pos: str, size: str, limit: int)
         raise ValueError("the limit must be positive")
     runs = blocks.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(size).cast("bigint").alias("z")))).alias("rows"), F.sum(size).alias("total"))
     n = F.greatest(F.lit(1).cast("bigint"), F.floor((F.col("total") + (limit - 1)) / limit))
-    state = F.struct(F.lit(0).cast("bigint").alias("held"), F.lit(0).cast("bigint").alias("closed"), F.array().cast("array<bigint>").alias("out"))
+    state = F.struct(F.lit(0).cast("bigint").alias("held"), F.lit(0).alias("seen"), F.array(F.lit(0)).alias("begins"))
 
     def step(s, row):
-        held = s["held"] + row["z"]
-        close = (held * n >= F.col("total")) & (s["closed"] < n - 1)
+        held, seen = s["held"] + row["z"], s["seen"] + 1
+        # size(begins) - 1 chunks have closed; only a cut, never a row, makes the state longer
+        close = (held * n >= F.col("total")) & (F.size(s["begins"]) < n)
         return F.struct(
-            F.when(close, F.lit(0).cast("bigint")).otherwise(held).alias("held"),
-            (s["closed"] + close.cast("bigint")).alias("closed"),
-            F.concat(s["out"], F.array(s["closed"])).alias("out"),
+            F.when(close, F.lit(0).cast("bigint")).otherwise(held).alias("held"), seen.alias("seen"), F.when(close, F.array_append(s["begins"], seen)).otherwise(s["begins"]).alias("begins")
         )
 
-    folded = F.aggregate("rows", state, step, lambda s: s["out"])
-    alone = F.sequence(F.lit(0).cast("bigint"), F.size("rows").cast("bigint") - 1)
-    numbers = F.when(n >= F.size("rows"), alone).otherwise(folded)
-    return runs.select(key, F.inline(F.arrays_zip(F.col("rows.p").alias(pos), numbers.alias("chunk"))))
+    begins = F.aggregate("rows", state, step, lambda s: s["begins"])
+    begins = F.when(n >= F.size("rows"), F.sequence(F.lit(0), F.size("rows") - 1)).otherwise(begins)
+    ends = F.concat(F.slice("begins", 2, F.size("begins")), F.array(F.size("rows")))
+    parts = runs.select(key, "rows", begins.alias("begins")).select(key, "rows", F.posexplode(F.arrays_zip(F.col("begins").alias("a"), ends.alias("b"))).alias("chunk", "part"))
+    cut = F.slice("rows", F.col("part.a") + 1, F.col("part.b") - F.col("part.a"))
+    return parts.select(key, F.col("chunk").cast("bigint").alias("chunk"), F.explode(cut).alias("r")).select(key, F.col("r.p").alias(pos), "chunk")
 
 
 def bounds(chunked: DataFrame, keys: list[str], pos: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import json_object
+from ..functions.text import WHITE, json_object, stripped
 
 WORD = "struct<text:string,start:double,end:double,type:string,speaker_id:string>"
 ASR = f"struct<audio_duration_secs:double,words:array<{WORD}>,transcripts:array<struct<words:array<{WORD}>>>>"
@@ -80,17 +80,28 @@ def with_heading(rows: DataFrame, key: list[str], order: list[str], is_heading:
 def cast_rows(raw: DataFrame, key: str, payload: str) -> DataFrame:
     """(key, nth, name, role) of a credit list whose lines that start with ■ give the role of what follows."""
     lines = raw.select(key, F.posexplode(F.from_json(F.col(payload), "struct<casts:array<string>>")["casts"]).alias("at", "line"))
-    lines = lines.withColumn("line", F.regexp_replace("line", r"^[\s\x{3000}]+|[\s\x{3000}]+$", "")).where("line <> ''")
+    lines = lines.withColumn("line", stripped(F.col("line"))).where("line <> ''")
     head = F.col("line").startswith("■")
-    named = with_heading(lines, [key], ["at"], head, F.regexp_replace("line", r"^■[\s\x{3000}]*", ""))
+    named = with_heading(lines, [key], ["at"], head, F.regexp_replace("line", f"^■[{WHITE}]*", ""))
     return named.select(key, F.row_number().over(Window.partitionBy(key).orderBy("at")).alias("nth"), F.col("line").alias("name"), "role")
 
 
+ASSIGNMENTS = "struct<assignments:array<struct<output_index:int,source_index:int>>>"
+
+
+def mapping_error(payload: Column) -> Column:
+    """What is wrong with a mapping response as text, null if nothing is."""
+    said = F.from_json(json_object(payload), ASSIGNMENTS)["assignments"]
+    lacks = F.exists(said, lambda a: a.isNull() | a["output_index"].isNull() | a["source_index"].isNull())
+    return F.when(said.isNull(), "Fix response must contain an assignments array").when(lacks, "Each assignment must include output_index and source_index")
+
+
 def mapping_rows(raw: DataFrame, key: str, payload: str) -> DataFrame:
-    """(key, output_index, source_index) of a mapping response; pairs that lack a side are skipped."""
-    shape = "struct<assignments:array<struct<output_index:int,source_index:int>>>"
-    rows = raw.select(key, F.explode(F.from_json(json_object(F.col(payload)), shape)["assignments"]).alias("a"))
-    return rows.select(key, "a.*").where("output_index IS NOT NULL AND source_index IS NOT NULL")
+    """(key, at, output_index, source_index) of a mapping response; one with a mapping_error raises."""
+    said = F.from_json(json_object(F.col(payload)), ASSIGNMENTS)["assignments"]
+    error = mapping_error(F.col(payload))
+    checked = F.when(error.isNull(), said).otherwise(F.raise_error(error))
+    return raw.select(key, F.posexplode(checked).alias("at", "a")).select(key, "at", "a.*")
 
 
 def name_targets(raw: DataFrame, payload: str) -> DataFrame:

@@ -49,10 +49,17 @@ def cyclic(items: DataFrame, ordinal: str, n: int, following: int, k: int) -> Da
     return items.withColumn("turn", turn).where(F.col("turn") < k)
 
 
-def next_stages(stages: DataFrame, done: DataFrame, key: str) -> DataFrame:
-    """(key, stage_ord, stage): each key's first stage that isn't done; stages: (stage_ord, stage), done: (key, stage)."""
-    wanted = done.select(key).distinct().join(F.broadcast(stages))  # eleven stages
-    open_ = wanted.join(done.select(key, "stage").distinct(), [key, "stage"], "left_anti")
+def next_stages(stages: DataFrame, done: DataFrame, key: str, keys: DataFrame | None = None, skipped: DataFrame | None = None, stop_after: str | None = None) -> DataFrame:
+    """(key, stage_ord, stage): each key's first stage that isn't done; stages: (stage_ord, stage), done: (key, stage).
+
+    keys: all keys, else those with a stage done. skipped: (key, stage) of optional stages that a key goes without.
+    With stop_after nothing is due behind that stage, whether it is done or not.
+    """
+    last = stages.where(F.col("stage") == stop_after).select(F.col("stage_ord").alias("last")) if stop_after else None
+    due = stages if last is None else stages.join(F.broadcast(last), F.col("stage_ord") <= F.col("last")).drop("last")
+    settled = done.select(key, "stage") if skipped is None else done.select(key, "stage").unionByName(skipped.select(key, "stage"))
+    wanted = (done if keys is None else keys).select(key).distinct().join(F.broadcast(due))  # eleven stages
+    open_ = wanted.join(settled.distinct(), [key, "stage"], "left_anti")
     return open_.groupBy(key).agg(F.min(F.struct("stage_ord", "stage")).alias("m")).select(key, "m.stage_ord", "m.stage")
 
 

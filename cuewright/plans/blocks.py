@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..adapters import BLOCKS_SQL, blocks, table
+from ..adapters import BLOCKS_SQL, blocks, folded_sql, table
 from ..functions import text as X
 from ..functions import timecode as T
-from ..operators import chunking, ranges
+from ..operators import chunking, ranges, segment
 from ..sources import srt
-from .timeline import timecode_sql
+from .timeline import INTERVALS_SQL, intervals, timecode_sql
 
 LIMIT = 1500
 B = "WITH " + BLOCKS_SQL.format(timecode=timecode_sql("2000 * pos") + " || ' --> ' || " + timecode_sql("(2000 * pos + 1500)"))
@@ -81,12 +81,13 @@ def segment_summary_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clean-up of lines given marks of every kind first."""
-    marked = F.concat(F.lit(" － "), F.col("text"), F.lit(" ，x。 」...… ！ y。"))
+    marked = F.concat(F.lit("\u00a0\u2003－ "), F.col("text"), F.lit(" ，x。 」...… ！ y。\u00a0"))
     return blocks(spark, sf_dir).select("project_id", "pos", X.clean_text(marked).alias("clean"))
 
 
 def _cleaned_sql(value: str) -> str:
-    steps = ((r"^[\s\x{3000}，、；。]+|[\s\x{3000}，、；。]+$", ""), (r"^[ \t\x{3000}]*[-\x{2010}-\x{2015}\x{2212}\x{FF0D}][ \t\x{3000}]*", "-"), (r"(\.{3,}|[…⋯])+", "…"), (r"[\s\x{3000}，、；。]+([」』])", r"\1"), (r"[ \t\x{3000}]*([，、；。：！？])[ \t\x{3000}]*", r"\1"))
+    white = " \t\v\f\r\u00a0\u3000\u2003"  # those that occur
+    steps = ((f"^[{white}，、；。]+|[{white}，、；。]+$", ""), ("^[ \t　]*[-‐-―−－][ \t　]*", "-"), (r"(\.{3,}|[…⋯])+", "…"), (f"[{white}，、；。]+([」』])", r"\1"), (r"[ \t　]*([，、；。：！？])[ \t　]*", r"\1"))
     for pattern, by in steps:
         value = f"regexp_replace({value}, '{pattern}', '{by}', 'g')"
     return f"replace({value}, '。', '，')"
@@ -113,9 +114,9 @@ def ass_dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def name_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names among Han letters spaced canonically."""
-    mixed = F.concat(F.lit("字"), F.col("text"), F.lit("漢字"))
-    return blocks(spark, sf_dir).select("project_id", "pos", X.spaced_names(mixed, ["the", "Is and", "de la", "of"]).alias("spaced"))
+    """Names put among the sentences of a line, misspaced in several ways, spaced canonically."""
+    mixed = F.concat(F.lit("字Long  Coat9 "), F.replace("text", F.lit(". "), F.lit("。 TwoTribe\t漢Ｔ")), F.lit("漢 Q醬  Long Coat Two Tribe"))
+    return blocks(spark, sf_dir).select("project_id", "pos", X.spaced_names(mixed, ["Two Tribe", "Long Coat", "Coat", "Q醬"]).alias("spaced"))
 
 
 def resume_worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,19 +129,40 @@ def normalize_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", X.folded(F.col("text")).alias("folded"))
 
 
+def overlap_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intervals as blocks of one project a user, overlaps resolved: cut short, or pushed where too little would stay."""
+    by_user = Window.partitionBy("user_id")
+    rows = intervals(spark, sf_dir).withColumn("origin", F.min("start_ms").over(by_user))
+    moved = rows.select(F.col("user_id").alias("project_id"), (F.row_number().over(by_user.orderBy("start_ms", "event_id")) - 1).alias("pos"), (F.col("start_ms") - F.col("origin")).alias("start_ms"), (F.col("end_ms") - F.col("origin")).alias("end_ms"))
+    return segment.resolved(moved, 600_000)
+
+
+RESOLVE_SQL = f"""WITH {INTERVALS_SQL}, b AS (SELECT user_id AS project_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY start_ms, event_id) - 1 AS INT) AS pos, start_ms - min(start_ms) OVER (PARTITION BY user_id) AS start_ms, end_ms - min(start_ms) OVER (PARTITION BY user_id) AS end_ms FROM iv),
+walk AS (WITH RECURSIVE f AS (SELECT project_id, pos, start_ms AS a, end_ms AS e, CAST(NULL AS BIGINT) AS shortened FROM b WHERE pos = 0
+  UNION ALL SELECT b.project_id, b.pos, CASE WHEN b.start_ms >= f.e OR b.start_ms - f.a >= 600000 THEN b.start_ms ELSE f.e END,
+    CASE WHEN b.start_ms >= f.e OR b.start_ms - f.a >= 600000 OR b.end_ms > f.e THEN b.end_ms ELSE f.e + 600000 END, CASE WHEN b.start_ms < f.e AND b.start_ms - f.a >= 600000 THEN b.start_ms END
+  FROM f JOIN b ON b.project_id = f.project_id AND b.pos = f.pos + 1) SELECT * FROM f)
+SELECT project_id, pos, a AS start_ms, coalesce(lead(shortened) OVER (PARTITION BY project_id ORDER BY pos), e) AS end_ms FROM walk"""
+
+
 QUERIES = {
     f.__name__: f
     for f in (parse_timecode, reindex_blocks, block_char_stats, chunk_budget, chunk_bounds, segment_summary_lookup, clean_text, dash_line_filter, suspect_blocks)
-} | {"srt_roundtrip": strict_roundtrip, "ass_dialogue": ass_dialogue, "name_spacing": name_spacing, "resume_worklist": resume_worklist, "normalize_fold": normalize_fold}
+} | {"srt_roundtrip": strict_roundtrip, "ass_dialogue": ass_dialogue, "name_spacing": name_spacing, "resume_worklist": resume_worklist, "normalize_fold": normalize_fold, "overlap_resolve": overlap_resolve}
 
 ORACLE = {
+    "overlap_resolve": RESOLVE_SQL,
+    "normalize_fold": f"SELECT doc_id, {folded_sql('text')} AS folded FROM documents",
+    # a term is a whole run of Latin letters, so taking it out joins nothing
+    "suspect_blocks": B + " SELECT project_id, pos FROM blocks WHERE len(list_filter(regexp_extract_all(text, '[A-Za-zぁ-ゖァ-ヺー]+'), lambda r: NOT list_contains(['the', 'of', 'de', 'la'], r) AND regexp_matches(r, '[A-Za-z]{2,}|[ぁ-ゖァ-ヺー]{2,}'))) > 0",
+    "name_spacing": B + " SELECT project_id, pos, '字 Long Coat9 ' || replace(text, '. ', '。Two Tribe 漢Ｔ') || '漢 Q醬 Long Coat Two Tribe' AS spaced FROM blocks",
     "parse_timecode": PARSE_SQL,
     "reindex_blocks": B + " SELECT project_id, CAST(row_number() OVER (PARTITION BY project_id ORDER BY pos) AS INT) AS index, index AS was, text FROM blocks WHERE regexp_replace(text, '\\s', '', 'g') <> ''",
     "block_char_stats": STATS_SQL,
     "chunk_budget": CHUNK_CTE + " SELECT project_id, pos, chunk FROM chunks",
     "chunk_bounds": CHUNK_CTE + " SELECT project_id, chunk, min(index) AS from_index, max(index) AS to_index, min(start_ms) AS start_ms, max(end_ms) AS end_ms FROM chunks GROUP BY 1, 2",
     "segment_summary_lookup": CHUNK_CTE + " SELECT project_id, chunk, min(index) AS from_index, max(index) AS to_index, CASE WHEN chunk % 3 <> 2 THEN min(index) || '-' || max(index) ELSE '' END AS summary FROM chunks GROUP BY 1, 2",
-    "clean_text": B + f" SELECT project_id, pos, {_cleaned_sql(chr(39) + ' － ' + chr(39) + ' || text || ' + chr(39) + ' ，x。 」...… ！ y。' + chr(39))} AS clean FROM blocks",
+    "clean_text": B + f" SELECT project_id, pos, {_cleaned_sql(chr(39) + chr(160) + chr(0x2003) + '－ ' + chr(39) + ' || text || ' + chr(39) + ' ，x。 」...… ！ y。' + chr(160) + chr(39))} AS clean FROM blocks",
     "dash_line_filter": "SELECT doc_id, array_to_string(list_filter(string_split('-' || chr(10) || replace(text, '. ', chr(10) || ' - ' || chr(10)), chr(10)), lambda l: trim(l, ' ' || chr(9)) <> '-'), chr(10)) AS clean FROM documents",
     "srt_roundtrip": B + f", tidy AS (SELECT *, regexp_replace(text, '{WS}+$', '') AS t FROM blocks) SELECT project_id, index, timecode, start_ms, end_ms, t AS text FROM tidy",
     "ass_dialogue": B + f" SELECT project_id, pos, 'Dialogue: 0,' || printf('%d:%02d:%02d.%02d', start_ms//3600000, start_ms//60000%60, start_ms//1000%60, start_ms%1000//10) || ',' || printf('%d:%02d:%02d.%02d', end_ms//3600000, end_ms//60000%60, end_ms//1000%60, end_ms%1000//10) || ',Default,,0,0,0,,' || {_cleaned_sql('text')} AS line FROM blocks",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..adapters import table
+from ..adapters import folded_sql, table
 from ..functions import text as X
 from ..operators import align, costs, glossary, payloads, ranges
 from .timeline import INTERVALS_SQL, intervals
@@ -15,7 +15,7 @@ ORDER_SQL = ", ".join(ORDER)
 
 
 def expected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 64).alias("chunk"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.floor(F.col("o_orderkey") / 64).alias("chunk"))
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,12 +28,14 @@ def validate_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def missing_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders without lines, listed for each chunk of 64 order keys."""
     rest = expected(spark, sf_dir).join(lines(spark, sf_dir), "o_orderkey", "left_anti")
     return rest.groupBy("chunk").agg(F.count("*").alias("missing"), F.array_join(F.array_sort(F.collect_set(F.format_string("%012d", "o_orderkey"))), ",").alias("keys"))
 
 
 def unexpected_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = expected(spark, sf_dir).where("o_orderkey % 5 <> 0")
+    """Lines of orders that are still pending, which are not expected."""
+    known = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'")
     return lines(spark, sf_dir).join(known, "o_orderkey", "left_anti").groupBy("o_orderkey").agg(F.count("*").alias("n"))
 
 
@@ -63,6 +65,18 @@ output AS (SELECT chunk, CAST(row_number() OVER (PARTITION BY chunk ORDER BY CAS
 nout AS (SELECT chunk, count(*) AS m FROM output GROUP BY 1), nsrc AS (SELECT chunk, count(*) AS n FROM source GROUP BY 1)"""
 
 
+#: problems of source and output, a tolerance of one.
+PROBLEMS_SQL = """known AS (SELECT DISTINCT chunk, timecode FROM source), got AS (SELECT o.chunk, o.pos, chr(39) || o.timecode || chr(39) AS t, k.timecode IS NULL AS strange FROM output o LEFT JOIN known k ON k.chunk = o.chunk AND k.timecode = o.timecode),
+twice AS (SELECT chunk, t, count(*) AS c FROM got WHERE NOT strange GROUP BY 1, 2), doubles AS (SELECT chunk, count(*) FILTER (c > 1) AS duplicated, string_agg(t, ', ' ORDER BY t) FILTER (c > 1) AS dup FROM twice GROUP BY 1),
+strangers AS (SELECT chunk, count(*) AS m, count(*) FILTER (strange) AS unexpected, string_agg('Unexpected output timecode ' || t, '; ' ORDER BY pos) FILTER (strange) AS said FROM got GROUP BY 1),
+lacking AS (SELECT s.chunk, count(*) AS n, count(*) FILTER (c IS NULL) AS missing FROM source s LEFT JOIN twice t ON t.chunk = s.chunk AND t.t = chr(39) || s.timecode || chr(39) GROUP BY 1),
+sums AS (SELECT chunk, coalesce(missing, 0) AS missing, coalesce(unexpected, 0) AS unexpected, coalesce(duplicated, 0) AS duplicated, coalesce(n, 0) - coalesce(m, 0) AS delta, coalesce(n, 0) AS n, coalesce(m, 0) AS m, said, dup
+  FROM lacking FULL JOIN strangers USING (chunk) LEFT JOIN doubles USING (chunk)),
+told AS (SELECT *, concat_ws('; ', said, 'Duplicate output timecodes: ' || dup, CASE WHEN missing > 1 THEN printf('Missing %d source block(s) exceeds tolerance 1', missing) END,
+  CASE WHEN abs(delta) > 1 THEN printf('Output block count delta %d exceeds tolerance 1 (output %d vs input %d)', delta, m, n) END) AS errors FROM sums),
+problems AS (SELECT chunk, missing, unexpected, duplicated, delta, errors = '' AS ok, errors FROM told)"""
+
+
 def position_canonicalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.by_position(*stream(spark, sf_dir))
 
@@ -95,7 +109,7 @@ def assignment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     source, output = stream(spark, sf_dir)
     pair = F.struct(F.col("pos").alias("output_index"), ((F.col("pos") + F.col("chunk") % 3) % 10).cast("int").alias("source_index"))
     said = output.groupBy("chunk").agg(F.concat(F.lit("```json\n"), F.to_json(F.struct(F.array_sort(F.collect_list(pair)).alias("assignments"))), F.lit("\n``` done")).alias("raw"))
-    mapping = payloads.mapping_rows(said, "chunk", "raw").select("chunk", F.col("output_index").alias("output_pos"), F.col("source_index").alias("source_pos"))
+    mapping = payloads.mapping_rows(said, "chunk", "raw").select("chunk", "at", F.col("output_index").alias("output_pos"), F.col("source_index").alias("source_pos"))
     return align.by_mapping(source, output, mapping)
 
 
@@ -120,17 +134,16 @@ def coalesce_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """benchmark items as entries: the first eight words of an item as its alias, ten units."""
-    alias = F.array_join(F.slice(F.split("text", " "), 1, 8), " ")
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("entry_id"), (F.col("item_id") % 10).alias("unit_id"), alias.alias("alias"))
+    """benchmark items as entries: the item's text as its alias, units of ten items."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("entry_id"), F.floor(F.col("item_id") / 10).alias("unit_id"), F.col("text").alias("alias"))
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), F.col("text").alias("hay"))
 
 
-ENTRIES_SQL = "entries AS (SELECT item_id AS entry_id, item_id % 10 AS unit_id, array_to_string(string_split(text, ' ')[1:8], ' ') AS alias FROM benchmark)"
-HITS_SQL = f"{ENTRIES_SQL}, hits AS (SELECT doc_id AS text_id, entry_id FROM documents JOIN entries ON contains(text, alias))"
+ENTRIES_SQL = "entries AS (SELECT item_id AS entry_id, item_id // 10 AS unit_id, text AS alias FROM benchmark)"
+HITS_SQL = f"{ENTRIES_SQL}, hits AS (SELECT doc_id AS text_id, entry_id FROM (SELECT doc_id, {folded_sql('text')} AS hay FROM documents) JOIN (SELECT entry_id, {folded_sql('alias')} AS a FROM entries) ON a <> '' AND contains(hay, a))"
 
 
 def glossary_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,25 +168,32 @@ def cost_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def model_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prices = spark.createDataFrame([(m, *p) for m, p in costs.MODEL_PRICES.items() if m != "R"], "l_returnflag string, p_in double, p_hit double, p_out double")
-    rows = table(spark, sf_dir, "lineitem").join(F.broadcast(prices), "l_returnflag", "left")
+    """Lines as calls of two models and of one without a price; some think."""
+    model = F.when(F.col("l_returnflag") == "A", "gemini-3.1-flash-lite-preview").when(F.col("l_returnflag") == "N", "gemini-3-flash-preview").otherwise("another")
+    rows = costs.priced(table(spark, sf_dir, "lineitem").withColumn("model", model), "model")
     prompt, cached, output = F.col("l_extendedprice").cast("bigint"), F.col("l_quantity").cast("bigint"), F.col("l_linenumber") * 100
-    cost = costs.token_cost(prompt, cached, output, (F.col("p_in"), F.col("p_hit"), F.col("p_out")))
+    thinking = F.nullif(F.col("l_suppkey") % 50, F.lit(0))
+    cost = costs.token_cost(prompt, cached, output, thinking, (F.col("p_in"), F.col("p_hit"), F.col("p_out")))
     repair = costs.repair_cost(cached, prompt, output)
-    return rows.groupBy("l_returnflag").agg(
+    return rows.groupBy("model").agg(
         F.sum(F.rint(cost * 1e9).cast("bigint")).alias("nano_usd"), F.sum(F.rint(repair * 1e9).cast("bigint")).alias("repair_nano_usd"), F.count("*").alias("calls")
     )
 
 
 def asr_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Speech of 60 ms a character: latest word end and price of each conversation."""
-    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg((F.sum(F.length("text")) * 60).alias("end_ms"))
-    return rows.select("conv_id", "end_ms", F.round(costs.speech_cost(F.col("end_ms") / 1000), 8).alias("cost"))
+    """Conversations as transcripts: a stated duration for two of three, else the latest end of a turn, and the price."""
+    word = F.struct(F.lit("w").alias("text"), F.col("turn").cast("double").alias("start"), (F.length("text") / 16 - F.col("turn") * 10).alias("end"))
+    said = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_list(word).alias("words"))
+    stated = F.when(F.col("conv_id") % 3 > 0, (F.col("conv_id") - 20).cast("double"))
+    payload = said.select("conv_id", F.to_json(F.struct(stated.alias("audio_duration_secs"), "words")).alias("payload"))
+    seconds = costs.speech_seconds(F.from_json("payload", payloads.ASR)["audio_duration_secs"], payloads.word_items(F.col("payload")))
+    rows = payload.select("conv_id", seconds.alias("seconds"))
+    return rows.select("conv_id", "seconds", F.round(costs.speech_cost(F.col("seconds")), 8).alias("cost"))
 
 
 def chunk_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calls of each order block: cost of failed ones included, retries, failures listed."""
-    rows = table(spark, sf_dir, "orders").withColumn("chunk", F.col("o_orderkey") % 32)
+    """Calls of each block of 512 order keys: cost of failed ones included, retries, failures listed."""
+    rows = table(spark, sf_dir, "orders").withColumn("chunk", F.floor(F.col("o_orderkey") / 512))
     failed = F.col("o_orderstatus") == "F"
     return rows.groupBy("chunk").agg(
         F.sum(F.rint(F.col("o_totalprice") * 100).cast("bigint")).alias("cost_cents"),
@@ -223,7 +243,7 @@ def cyclic_select(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def role_fill_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User turns as headings of the turns that follow."""
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.substring("text", 1, 12).alias("head"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.col("text").alias("head"))
     out = payloads.with_heading(rows.withColumnRenamed("role", "who"), ["conv_id"], ["turn"], F.col("who") == "user", F.col("head"))
     return out.select("conv_id", "turn", "who", "role")
 
@@ -232,10 +252,12 @@ STAGES = ("view", "click", "cart", "purchase", "error")
 
 
 def stage_next(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each user's first stage that isn't logged in the first ten days of events."""
-    done = table(spark, sf_dir, "events").where("event_id % 11 = 0").select("user_id", F.col("event_type").alias("stage"))
+    """Each user's first stage that wasn't logged by the end of the first day; users with a cheap purchase go without carts."""
+    events = table(spark, sf_dir, "events").select("user_id", "ts", "value", F.col("event_type").alias("stage"))
+    cheap = events.where("stage = 'purchase' AND value < 20").select("user_id", F.lit("cart").alias("stage"))
+    done = events.where("ts < TIMESTAMP_NTZ '2024-01-02 00:00:00'")
     stages = spark.createDataFrame(list(enumerate(STAGES)), "stage_ord int, stage string")
-    return ranges.next_stages(stages, done, "user_id")
+    return ranges.next_stages(stages, done, "user_id", events, cheap, "purchase")
 
 
 # ---- texts and payloads -------------------------------------------------------------------------
@@ -299,9 +321,9 @@ QUERIES = {f.__name__: f for f in _FUNCTIONS}
 
 _FIRST = f"SELECT l_orderkey, l_partkey || '/' || l_suppkey AS text FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {ORDER_SQL}) AS r FROM lineitem) WHERE r = 1"
 ORACLE = {
-    "validate_left_join": f"SELECT o_orderkey % 64 AS chunk, o_orderkey, coalesce(text, '') AS text FROM orders LEFT JOIN ({_FIRST}) ON l_orderkey = o_orderkey",
-    "missing_blocks": "SELECT o_orderkey % 64 AS chunk, count(*) AS missing, string_agg(printf('%012d', o_orderkey), ',' ORDER BY o_orderkey) AS keys FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) GROUP BY 1",
-    "unexpected_blocks": "SELECT l_orderkey AS o_orderkey, count(*) AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 5 <> 0) GROUP BY 1",
+    "validate_left_join": f"SELECT o_orderkey // 64 AS chunk, o_orderkey, coalesce(text, '') AS text FROM orders LEFT JOIN ({_FIRST}) ON l_orderkey = o_orderkey",
+    "missing_blocks": "SELECT o_orderkey // 64 AS chunk, count(*) AS missing, string_agg(printf('%012d', o_orderkey), ',' ORDER BY o_orderkey) AS keys FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) GROUP BY 1",
+    "unexpected_blocks": "SELECT l_orderkey AS o_orderkey, count(*) AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P') GROUP BY 1",
     "duplicate_keys": "SELECT l_orderkey AS o_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1",
     "position_canonicalize": f"WITH {STREAM_SQL} SELECT s.chunk, s.pos, s.timecode, text FROM source s JOIN output o ON s.chunk = o.chunk AND s.pos = o.pos JOIN nsrc ON nsrc.chunk = s.chunk JOIN nout ON nout.chunk = s.chunk WHERE n = m",
     "subset_canonicalize": f"""WITH {STREAM_SQL}, good AS (SELECT o.chunk FROM output o LEFT JOIN source s ON o.chunk = s.chunk AND o.timecode = s.timecode GROUP BY 1 HAVING count(*) = count(DISTINCT o.timecode) AND count(*) = count(s.timecode)),
@@ -312,27 +334,26 @@ SELECT s.chunk, s.pos, s.timecode, coalesce(o.text, '') AS text FROM source s JO
 SELECT s.chunk, s.pos, s.timecode, coalesce(map.text, '') AS text FROM source s JOIN nout USING (chunk) LEFT JOIN map ON map.chunk = s.chunk AND map.sp = s.pos""",
     "structural_guard": f"""WITH {STREAM_SQL}, z AS (SELECT s.chunk, CAST(s.pos AS BIGINT) AS pos, s.timecode AS a, o.timecode AS b FROM source s JOIN output o ON s.chunk = o.chunk AND s.pos = o.pos)
 SELECT chunk, pos, 'timecode' AS error FROM z WHERE a <> b UNION ALL SELECT chunk, pos, 'empty' FROM z WHERE pos % 9 = 8 UNION ALL SELECT chunk, -1, 'count' FROM nsrc FULL JOIN nout USING (chunk) WHERE n IS DISTINCT FROM m""",
-    "validation_problems": f"""WITH {STREAM_SQL}, o AS (SELECT chunk, timecode, count(*) AS c FROM output GROUP BY 1, 2), b AS (SELECT coalesce(s.chunk, o.chunk) AS chunk, s.timecode AS w, c FROM source s FULL JOIN o ON o.chunk = s.chunk AND o.timecode = s.timecode),
-k AS (SELECT chunk, count(*) FILTER (c IS NULL) AS missing, count(*) FILTER (w IS NULL) AS unexpected, count(*) FILTER (c > 1) AS duplicated FROM b GROUP BY 1) SELECT *, missing <= 1 AND unexpected = 0 AND duplicated = 0 AS ok FROM k""",
+    "validation_problems": f"WITH {STREAM_SQL}, {PROBLEMS_SQL} SELECT * FROM problems",
     "coalesce_source": """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_returnflag FROM (SELECT *, min(CASE l_returnflag WHEN 'A' THEN 1 WHEN 'R' THEN 2 ELSE 3 END) OVER (PARTITION BY l_orderkey) AS best FROM lineitem)
 WHERE CASE l_returnflag WHEN 'A' THEN 1 WHEN 'R' THEN 2 ELSE 3 END = best""",
     "glossary_hits": f"WITH {HITS_SQL} SELECT DISTINCT * FROM hits",
     "glossary_units": f"WITH {HITS_SQL}, u AS (SELECT DISTINCT text_id, unit_id FROM hits JOIN entries USING (entry_id)) SELECT text_id, unit_id, entry_id, alias FROM u JOIN entries USING (unit_id)",
     "glossary_render": f"WITH {ENTRIES_SQL} SELECT unit_id, string_agg(alias || ' / ' || lower(alias) || ' → z' || entry_id, chr(10) ORDER BY entry_id) AS block FROM entries GROUP BY 1",
     "cost_ledger": "SELECT user_id, event_type, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS total FROM events WHERE CAST(value AS DECIMAL(18,2)) <> 0 GROUP BY ROLLUP (user_id, event_type)",
-    "model_cost": """WITH u AS (SELECT l_returnflag, CAST(trunc(l_extendedprice) AS BIGINT) AS p, CAST(trunc(l_quantity) AS BIGINT) AS c, l_linenumber * 100 AS o FROM lineitem),
-k AS (SELECT *, CASE l_returnflag WHEN 'A' THEN ((p - c) * 0.25::DOUBLE + c * 0.025::DOUBLE + o * 1.5::DOUBLE) / 1000000 WHEN 'N' THEN ((p - c) * 0.5::DOUBLE + c * 0.1::DOUBLE + o * 3::DOUBLE) / 1000000 ELSE 0 END AS cost, (c * 0.0028::DOUBLE + p * 0.14::DOUBLE + o * 0.28::DOUBLE) / 1000000 AS fix FROM u)
-SELECT l_returnflag, CAST(sum(CAST(round_even(cost * 1e9::DOUBLE, 0) AS BIGINT)) AS BIGINT) AS nano_usd, CAST(sum(CAST(round_even(fix * 1e9::DOUBLE, 0) AS BIGINT)) AS BIGINT) AS repair_nano_usd, count(*) AS calls FROM k GROUP BY 1""",
-    "asr_cost": "SELECT conv_id, CAST(sum(length(text)) * 60 AS BIGINT) AS end_ms, round(CAST(sum(length(text)) * 60 AS BIGINT) / 1000 / 3600 * 0.22::DOUBLE, 8) AS cost FROM conversations GROUP BY 1",
-    "chunk_summary": """SELECT o_orderkey % 32 AS chunk, CAST(sum(CAST(round_even(o_totalprice * 100, 0) AS BIGINT)) AS BIGINT) AS cost_cents, CAST(sum(length(o_orderpriority)) AS BIGINT) AS retries, count(*) FILTER (o_orderstatus <> 'F') AS completed,
+    "model_cost": """WITH u AS (SELECT l_returnflag, CAST(trunc(l_extendedprice) AS BIGINT) AS p, CAST(trunc(l_quantity) AS BIGINT) AS c, l_linenumber * 100 AS o, l_suppkey % 50 AS t FROM lineitem),
+k AS (SELECT *, CASE l_returnflag WHEN 'A' THEN ((p - c) * 0.25::DOUBLE + c * 0.025::DOUBLE + (o + t) * 1.5::DOUBLE) / 1000000 WHEN 'N' THEN ((p - c) * 0.5::DOUBLE + c * 0.1::DOUBLE + (o + t) * 3::DOUBLE) / 1000000 ELSE 0 END AS cost, (c * 0.0028::DOUBLE + p * 0.14::DOUBLE + o * 0.28::DOUBLE) / 1000000 AS fix FROM u)
+SELECT CASE l_returnflag WHEN 'A' THEN 'gemini-3.1-flash-lite-preview' WHEN 'N' THEN 'gemini-3-flash-preview' ELSE 'another' END AS model, CAST(sum(CAST(round_even(cost * 1e9::DOUBLE, 0) AS BIGINT)) AS BIGINT) AS nano_usd, CAST(sum(CAST(round_even(fix * 1e9::DOUBLE, 0) AS BIGINT)) AS BIGINT) AS repair_nano_usd, count(*) AS calls FROM k GROUP BY 1""",
+    "asr_cost": "WITH s AS (SELECT conv_id, greatest(CASE WHEN conv_id % 3 > 0 THEN CAST(conv_id - 20 AS DOUBLE) ELSE max(length(text) / 16::DOUBLE - turn * 10) END, 0) AS seconds FROM conversations GROUP BY 1) SELECT conv_id, seconds, round(seconds / 3600 * 0.22::DOUBLE, 8) AS cost FROM s",
+    "chunk_summary": """SELECT o_orderkey // 512 AS chunk, CAST(sum(CAST(round_even(o_totalprice * 100, 0) AS BIGINT)) AS BIGINT) AS cost_cents, CAST(sum(length(o_orderpriority)) AS BIGINT) AS retries, count(*) FILTER (o_orderstatus <> 'F') AS completed,
 sha256(coalesce(string_agg(CASE WHEN o_orderstatus = 'F' THEN printf('%012d', o_orderkey) END, ',' ORDER BY o_orderkey), '')) AS failures FROM orders GROUP BY 1""",
     "interval_lattice": f"""WITH {INTERVALS_SQL}, r AS (SELECT event_id, CAST(k * {STEP} AS BIGINT) AS at_ms, end_ms FROM (SELECT *, unnest(range((start_ms + {STEP - 1}) // {STEP}, (end_ms - 1) // {STEP} + 1)) AS k FROM iv))
 SELECT event_id, at_ms FROM r UNION SELECT event_id, end_ms FROM iv""",
     "even_timestamps": f"WITH {INTERVALS_SQL} SELECT event_id, CAST(k - 1 AS INT) AS k, CAST(end_ms - start_ms AS DOUBLE) / 4 * k AS at FROM iv, unnest([1, 2, 3]) AS t(k) WHERE end_ms > start_ms",
     "midpoint_split": SPLIT_SQL,
     "cyclic_select": "WITH n AS (SELECT count(*) AS n FROM part) SELECT p_partkey, (p_partkey - 1 - (n - 3) + n) % n AS turn FROM part, n WHERE (p_partkey - 1 - (n - 3) + n) % n < 7",
-    "role_fill_forward": """SELECT conv_id, turn, role AS who, nullif(head, '') AS role FROM (SELECT conv_id, turn, role, last_value(CASE WHEN role = 'user' THEN substr(text, 1, 12) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn) AS head FROM conversations) WHERE role <> 'user'""",
-    "stage_next": "WITH s AS (SELECT * FROM (VALUES (0, 'view'), (1, 'click'), (2, 'cart'), (3, 'purchase'), (4, 'error')) t(stage_ord, stage)), d AS (SELECT DISTINCT user_id, event_type FROM events WHERE event_id % 11 = 0), o AS (SELECT user_id, stage_ord, stage FROM (SELECT DISTINCT user_id FROM d), s WHERE (user_id, stage) NOT IN (SELECT user_id, event_type FROM d)) SELECT user_id, min(stage_ord) AS stage_ord, arg_min(stage, stage_ord) AS stage FROM o GROUP BY 1",
+    "role_fill_forward": """SELECT conv_id, turn, role AS who, nullif(head, '') AS role FROM (SELECT conv_id, turn, role, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn) AS head FROM conversations) WHERE role <> 'user'""",
+    "stage_next": "WITH s AS (SELECT * FROM (VALUES (0, 'view'), (1, 'click'), (2, 'cart'), (3, 'purchase'), (4, 'error')) t(stage_ord, stage)), d AS (SELECT DISTINCT user_id, event_type FROM events WHERE ts < TIMESTAMP '2024-01-02 00:00:00' UNION SELECT user_id, 'cart' FROM events WHERE event_type = 'purchase' AND value < 20), o AS (SELECT user_id, stage_ord, stage FROM (SELECT DISTINCT user_id FROM events), s WHERE stage_ord <= 3 AND (user_id, stage) NOT IN (SELECT user_id, event_type FROM d)) SELECT user_id, min(stage_ord) AS stage_ord, arg_min(stage, stage_ord) AS stage FROM o GROUP BY 1",
     "sanitize_filename": r"SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '<title>(.*?)</title>', 1), '[^\p{L}\p{N}_\s-]', '', 'g'), '^\s+|\s+$', '', 'g'), '[-\s]+', '_', 'g') AS name FROM pages",
     "parse_source_id": SOURCE_SQL,
     "json_extract": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events",

@@ -31,15 +31,27 @@ def test_repairs(spark):
     assert texts(align.by_anchors(source, stream(spark, "abcd", "1234"), 2)) == []  # nothing changes
     # sources 0, 3, 1, 2: each anchor is compared with the raw one before it, which keeps 0, 3, 2
     assert texts(align.by_anchors(source, stream(spark, "adbc", "1423"), 5)) == ["1", "", "3", "4"]
-    mapping = spark.createDataFrame([(1, 0, 2), (1, 1, 0)], "chunk int, output_pos int, source_pos int")
+    pairs = "chunk int, at int, output_pos int, source_pos int"
+    mapping = spark.createDataFrame([(1, 0, 0, 2), (1, 1, 1, 0)], pairs)
     assert texts(align.by_mapping(source, stream(spark, "xy", "12"), mapping)) == ["2", "", "1", ""]
-    twice = spark.createDataFrame([(1, 0, 2), (1, 1, 2)], "chunk int, output_pos int, source_pos int")
-    assert texts(align.by_mapping(source, stream(spark, "xy", "12"), twice)) == []
+    twice, foreign = spark.createDataFrame([(1, 0, 0, 2), (1, 1, 1, 2)], pairs), spark.createDataFrame([(1, 0, 0, 2), (1, 1, 9, 9), (1, 2, 1, 2)], pairs)
+    for wrong, said in ((twice, "Duplicate assignment for source index 2"), (foreign, "Invalid block assignment output_index=9, source_index=9")):
+        assert texts(align.by_mapping(source, stream(spark, "xy", "12"), wrong)) == []
+        assert [r["error"] for r in align.mapping_errors(source, stream(spark, "xy", "12"), wrong).collect()] == [said]
+    assert texts(align.by_mapping(source, stream(spark, "xy", "12"), mapping.limit(0), source)) == ["", "", "", ""]
+    repeated = stream(spark, "aab").drop("text")
+    assert texts(align.by_timecode_subset(repeated, stream(spark, "ab", "12"))) == ["1", "1", "2"]
 
 
 def test_validation(spark):
     got = align.problems(stream(spark, "abcd").drop("text"), stream(spark, "abbx", "1234"), 2).first()
-    assert (got["missing"], got["unexpected"], got["duplicated"], got["ok"]) == (2, 1, 1, False)
+    assert (got["missing"], got["unexpected"], got["duplicated"], got["delta"], got["ok"]) == (2, 1, 1, 0, False)
+    assert got["errors"] == "Unexpected output timecode 'x'; Duplicate output timecodes: 'b'"
+    repeated = align.problems(stream(spark, "aab").drop("text"), stream(spark, "ab", "12"), 0).first()
+    assert (repeated["missing"], repeated["delta"]) == (0, 1) and repeated["errors"] == "Output block count delta 1 exceeds tolerance 0 (output 2 vs input 3)"
+    nothing = align.problems(stream(spark, "abc").drop("text"), stream(spark, "a").limit(0), 1).first()
+    assert nothing["errors"] == "Missing 3 source block(s) exceeds tolerance 1; Output block count delta 3 exceeds tolerance 1 (output 0 vs input 3)"
+    assert align.problems(stream(spark, "abc").drop("text"), stream(spark, "ab"), 1).first()["ok"]
     one = stream(spark, "ab", "12").withColumn("index", F.col("pos") + 1)
     other = stream(spark, "axc", ["1", " ", "3"]).withColumn("index", F.col("pos") + F.when(F.col("pos") == 0, 5).otherwise(1))
     assert {(r["pos"], r["error"]) for r in align.structural_errors(one, other).collect()} == {(0, "index"), (1, "timecode"), (1, "empty"), (-1, "count")}
@@ -109,6 +121,41 @@ def test_payloads(spark):
     assert {r["unit"] for r in payloads.name_targets(spark.createDataFrame([(brief,), ("bad",)], "raw string"), "raw").collect()} == {"A1", "B1", "C1"}
 
 
+def test_mapping_responses(spark):
+    good = json.dumps({"assignments": [{"output_index": 2, "source_index": 1}, {"output_index": 1, "source_index": 3}]})
+    row = lambda raw: spark.createDataFrame([(1, raw)], "chunk int, raw string")
+    assert [tuple(r) for r in payloads.mapping_rows(row("```json\n" + good + "\n```"), "chunk", "raw").collect()] == [(1, 0, 2, 1), (1, 1, 1, 3)]
+    for bad in ('{"assignments": 3}', "no json", '{"assignments": [{"output_index": 1}]}'):
+        with pytest.raises(Exception, match="Fix response|Each assignment"):
+            payloads.mapping_rows(row(bad), "chunk", "raw").collect()
+
+
+def test_costs(spark):
+    calls = spark.createDataFrame([("gemini-3-flash-preview", 1_000_000, 400_000, 100_000, 50_000), ("gemini-3-flash-preview", 10, None, None, None), ("x", 5, 5, 5, 5)], "model string, p long, c long, o long, t long")
+    prices = tuple(F.col(f"p_{k}") for k in ("in", "hit", "out"))
+    got = costs.priced(calls, "model").select(costs.token_cost(F.col("p"), F.col("c"), F.col("o"), F.col("t"), prices).alias("usd")).collect()
+    assert sorted(r["usd"] for r in got) == pytest.approx([0, 5e-6, 0.6 * 0.5 + 0.4 * 0.1 + 0.15 * 3])
+    events = spark.createDataFrame([(1, "a", 1.0), (1, "b", 2.0), (2, "a", 0.0)], "project int, service string, amount double")
+    assert {tuple(r) for r in costs.ledger(events, "project", "service", "amount").collect()} == {(1, "a", 1.0), (1, "b", 2.0), (1, None, 3.0), (None, None, 3.0)}
+    for bad, said in (((1, "a", -1.0), "negative"), ((1, " ", 1.0), "without a service"), ((1, None, 1.0), "without a service")):
+        with pytest.raises(Exception, match=said):
+            costs.ledger(spark.createDataFrame([bad], events.schema), "project", "service", "amount").collect()
+    payload = lambda p: spark.createDataFrame([(p,)], "p string").select(costs.speech_seconds(F.from_json("p", payloads.ASR)["audio_duration_secs"], payloads.word_items(F.col("p"))).alias("s")).first()["s"]
+    assert payload('{"audio_duration_secs": 4, "words": [{"end": 9}]}') == 4 and payload('{"audio_duration_secs": -4}') == 0
+    assert payload('{"words": [{"end": 3}, {"end": 9}, {"end": null}]}') == 9 and payload('{"transcripts": [{"words": [{"end": 2.5}]}]}') == 2.5 and payload("{}") == 0
+
+
+def test_stages(spark):
+    stages = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "stage_ord int, stage string")
+    done = spark.createDataFrame([(1, "a"), (2, "a"), (2, "b"), (2, "c"), (4, "b")], "key int, stage string")
+    keys = spark.createDataFrame([(k,) for k in range(1, 5)], "key int")
+    due = lambda *a, **k: {tuple(r) for r in ranges.next_stages(stages, done, "key", *a, **k).collect()}
+    assert due() == {(1, 1, "b"), (4, 0, "a")} and due(keys) == {(1, 1, "b"), (3, 0, "a"), (4, 0, "a")}
+    skipped = spark.createDataFrame([(1, "b"), (4, "a")], "key int, stage string")
+    assert due(keys, skipped) == {(1, 2, "c"), (3, 0, "a"), (4, 2, "c")}
+    assert due(keys, skipped, "b") == {(3, 0, "a")}
+
+
 def test_ranges(spark):
     one = spark.range(1)
     lattice = lambda a, b, step, s, e: one.select(ranges.lattice(F.lit(a).cast("bigint"), F.lit(b).cast("bigint"), step, s, e).alias("x")).first()["x"]

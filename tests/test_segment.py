@@ -75,7 +75,7 @@ CLEAN = [("，你好。", "你好"), ("－ 好", "-好"), ("等....", "等…"),
 
 
 def test_clean_lines(spark):
-    rows = spark.createDataFrame(CLEAN, "raw string, want string").select(X.clean_line(F.col("raw")).alias("got"), "want").collect()
+    rows = spark.createDataFrame(CLEAN, "raw string, want string").select(X.clean_text(F.col("raw")).alias("got"), "want").collect()
     assert [r["got"] for r in rows] == [r["want"] for r in rows]
 
 
