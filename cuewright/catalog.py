@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import blocks, joins, speech, timeline
+from .plans import blocks, joins, speech, studio, timeline
 
-_PLANS = (timeline, blocks, joins, speech)
+_PLANS = (timeline, blocks, joins, speech, studio)
 QUERIES = {name: query for plan in _PLANS for name, query in plan.QUERIES.items()}
 ORACLE = {name: sql for plan in _PLANS for name, sql in plan.ORACLE.items()}

@@ -37,35 +37,35 @@ def usable_words(payloads: DataFrame, key: str, payload: str, ignored: tuple[str
     return parts.select(key, (F.row_number().over(order) - 1).alias("tok_pos"), "p.text", "p.start", "p.end", "speaker_id")
 
 
-def glossary_entries(raw: DataFrame, payload: str = "value") -> DataFrame:
-    """(kind, unit_id, entry_pos, is_group, aliases, target) from glossary JSON.
+def glossary_entries(raw: DataFrame, payload: str = "value", keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, kind, unit_id, entry_pos, is_group, aliases, target) from glossary JSON.
 
     An entry needs aliases without an empty one and a target; a unit needs a valid member; a bad group
     leaves its members as they are. Text that isn't such JSON gives no rows.
     """
-    parsed = raw.select(F.from_json(json_object(F.col(payload)), GLOSSARY).alias("g"))
+    parsed = raw.select(*keys, F.from_json(json_object(F.col(payload)), GLOSSARY).alias("g"))
 
     def valid(e: Column) -> Column:
         return e.isNotNull() & (F.size(e["jp"]) > 0) & F.forall(e["jp"], lambda a: a.isNotNull() & (a != "")) & (F.coalesce(e["zh"], F.lit("")) != "")
 
-    units = parsed.select(F.posexplode("g.talents").alias("unit_id", "u"))
+    units = parsed.select(*keys, F.posexplode("g.talents").alias("unit_id", "u"))
     members = F.filter("u.members", valid)
     group = F.when(F.coalesce(valid(F.col("u.group")), F.lit(False)), F.array(F.struct(F.lit(True).alias("is_group"), F.col("u.group").alias("e"))))
     plain = F.transform(members, lambda m: F.struct(F.lit(False).alias("is_group"), m.alias("e")))
     listed = F.concat(F.coalesce(group, F.array().cast(f"array<struct<is_group:boolean,e:{MAPPING}>>")), plain)
-    talents = units.where(F.size(members) > 0).select(F.lit("talent").alias("kind"), "unit_id", F.posexplode(listed).alias("entry_pos", "x"))
-    talents = talents.select("kind", "unit_id", "entry_pos", "x.is_group", F.col("x.e.jp").alias("aliases"), F.col("x.e.zh").alias("target"))
-    others = parsed.select(F.posexplode(F.filter("g.others", valid)).alias("entry_pos", "e"))
-    others = others.select(F.lit("other").alias("kind"), F.lit(None).cast("int").alias("unit_id"), "entry_pos", F.lit(False).alias("is_group"), F.col("e.jp").alias("aliases"), F.col("e.zh").alias("target"))
+    talents = units.where(F.size(members) > 0).select(*keys, F.lit("talent").alias("kind"), "unit_id", F.posexplode(listed).alias("entry_pos", "x"))
+    talents = talents.select(*keys, "kind", "unit_id", "entry_pos", "x.is_group", F.col("x.e.jp").alias("aliases"), F.col("x.e.zh").alias("target"))
+    others = parsed.select(*keys, F.posexplode(F.filter("g.others", valid)).alias("entry_pos", "e"))
+    others = others.select(*keys, F.lit("other").alias("kind"), F.lit(None).cast("int").alias("unit_id"), "entry_pos", F.lit(False).alias("is_group"), F.col("e.jp").alias("aliases"), F.col("e.zh").alias("target"))
     return talents.unionByName(others)
 
 
-def talent_rows(raw: DataFrame, payload: str) -> DataFrame:
-    """(id, name, name_kana, roles) of a talents response; items without id or name are skipped."""
+def talent_rows(raw: DataFrame, payload: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, id, name, name_kana, roles) of a talents response; items that lack an id or a name are skipped."""
     shape = "struct<talents:array<struct<id:string,name:string,name_kana:string,genre1:string,genre2:string,genre3:string>>>"
-    rows = raw.select(F.explode(F.from_json(F.col(payload), shape)["talents"]).alias("t")).select("t.*").where("id <> '' AND name <> ''")
+    rows = raw.select(*keys, F.explode(F.from_json(F.col(payload), shape)["talents"]).alias("t")).select(*keys, "t.*").where("id IS NOT NULL AND name IS NOT NULL")
     roles = F.filter(F.array("genre1", "genre2", "genre3"), lambda g: g.isNotNull() & (g != ""))
-    return rows.select("id", "name", "name_kana", roles.alias("roles"))
+    return rows.select(*keys, "id", "name", "name_kana", roles.alias("roles"))
 
 
 def with_heading(rows: DataFrame, key: list[str], order: list[str], is_heading: Column, heading: Column) -> DataFrame:
@@ -78,12 +78,16 @@ def with_heading(rows: DataFrame, key: list[str], order: list[str], is_heading:
 
 
 def cast_rows(raw: DataFrame, key: str, payload: str) -> DataFrame:
-    """(key, nth, name, role) of a credit list whose lines that start with ■ give the role of what follows."""
+    """(key, nth, id, name, role) of a credit list whose lines that start with ■ give the role of what follows; a bare one clears it.
+
+    The id is abema:key:nth, nth counting the names from 1.
+    """
     lines = raw.select(key, F.posexplode(F.from_json(F.col(payload), "struct<casts:array<string>>")["casts"]).alias("at", "line"))
     lines = lines.withColumn("line", stripped(F.col("line"))).where("line <> ''")
     head = F.col("line").startswith("■")
     named = with_heading(lines, [key], ["at"], head, F.regexp_replace("line", f"^■[{WHITE}]*", ""))
-    return named.select(key, F.row_number().over(Window.partitionBy(key).orderBy("at")).alias("nth"), F.col("line").alias("name"), "role")
+    nth = F.row_number().over(Window.partitionBy(key).orderBy("at"))
+    return named.select(key, nth.alias("nth"), F.concat_ws(":", F.lit("abema"), F.col(key).cast("string"), nth.cast("string")).alias("id"), F.col("line").alias("name"), "role")
 
 
 ASSIGNMENTS = "struct<assignments:array<struct<output_index:int,source_index:int>>>"
@@ -104,10 +108,10 @@ def mapping_rows(raw: DataFrame, key: str, payload: str) -> DataFrame:
     return raw.select(key, F.posexplode(checked).alias("at", "a")).select(key, "at", "a.*")
 
 
-def name_targets(raw: DataFrame, payload: str) -> DataFrame:
-    """(unit): the renderings agreed in a briefing; text that is no such JSON gives none."""
+def name_targets(raw: DataFrame, payload: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, unit): the distinct renderings agreed in a briefing; text that is no such JSON gives none."""
     shape = "struct<proper_nouns:map<string,string>,characters:array<struct<name_zh:string>>,glossary:map<string,string>>"
     b = F.from_json(F.col(payload), shape)
     none = F.array().cast("array<string>")
     found = F.concat(F.coalesce(F.map_values(b["proper_nouns"]), none), F.coalesce(F.transform(b["characters"], lambda c: c["name_zh"]), none), F.coalesce(F.map_values(b["glossary"]), none))
-    return raw.select(F.explode(found).alias("unit")).where("unit IS NOT NULL").distinct()
+    return raw.select(*keys, F.explode(found).alias("unit")).where("unit IS NOT NULL").distinct()

@@ -65,16 +65,16 @@ output AS (SELECT chunk, CAST(row_number() OVER (PARTITION BY chunk ORDER BY CAS
 nout AS (SELECT chunk, count(*) AS m FROM output GROUP BY 1), nsrc AS (SELECT chunk, count(*) AS n FROM source GROUP BY 1)"""
 
 
-#: problems of source and output, a tolerance of one.
-PROBLEMS_SQL = """known AS (SELECT DISTINCT chunk, timecode FROM source), got AS (SELECT o.chunk, o.pos, chr(39) || o.timecode || chr(39) AS t, k.timecode IS NULL AS strange FROM output o LEFT JOIN known k ON k.chunk = o.chunk AND k.timecode = o.timecode),
+def problems_sql(tolerance: int) -> str:
+    return """known AS (SELECT DISTINCT chunk, timecode FROM source), got AS (SELECT o.chunk, o.pos, chr(39) || o.timecode || chr(39) AS t, k.timecode IS NULL AS strange FROM output o LEFT JOIN known k ON k.chunk = o.chunk AND k.timecode = o.timecode),
 twice AS (SELECT chunk, t, count(*) AS c FROM got WHERE NOT strange GROUP BY 1, 2), doubles AS (SELECT chunk, count(*) FILTER (c > 1) AS duplicated, string_agg(t, ', ' ORDER BY t) FILTER (c > 1) AS dup FROM twice GROUP BY 1),
 strangers AS (SELECT chunk, count(*) AS m, count(*) FILTER (strange) AS unexpected, string_agg('Unexpected output timecode ' || t, '; ' ORDER BY pos) FILTER (strange) AS said FROM got GROUP BY 1),
 lacking AS (SELECT s.chunk, count(*) AS n, count(*) FILTER (c IS NULL) AS missing FROM source s LEFT JOIN twice t ON t.chunk = s.chunk AND t.t = chr(39) || s.timecode || chr(39) GROUP BY 1),
 sums AS (SELECT chunk, coalesce(missing, 0) AS missing, coalesce(unexpected, 0) AS unexpected, coalesce(duplicated, 0) AS duplicated, coalesce(n, 0) - coalesce(m, 0) AS delta, coalesce(n, 0) AS n, coalesce(m, 0) AS m, said, dup
   FROM lacking FULL JOIN strangers USING (chunk) LEFT JOIN doubles USING (chunk)),
-told AS (SELECT *, concat_ws('; ', said, 'Duplicate output timecodes: ' || dup, CASE WHEN missing > 1 THEN printf('Missing %d source block(s) exceeds tolerance 1', missing) END,
-  CASE WHEN abs(delta) > 1 THEN printf('Output block count delta %d exceeds tolerance 1 (output %d vs input %d)', delta, m, n) END) AS errors FROM sums),
-problems AS (SELECT chunk, missing, unexpected, duplicated, delta, errors = '' AS ok, errors FROM told)"""
+told AS (SELECT *, concat_ws('; ', said, 'Duplicate output timecodes: ' || dup, CASE WHEN missing > {t} THEN printf('Missing %d source block(s) exceeds tolerance {t}', missing) END,
+  CASE WHEN abs(delta) > {t} THEN printf('Output block count delta %d exceeds tolerance {t} (output %d vs input %d)', delta, m, n) END) AS errors FROM sums),
+problems AS (SELECT chunk, missing, unexpected, duplicated, delta, errors = '' AS ok, errors FROM told)""".replace("{t}", str(tolerance))
 
 
 def position_canonicalize(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,8 +89,7 @@ def anchor_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.by_anchors(*stream(spark, sf_dir), 2)
 
 
-ANCHOR_SQL = f"""WITH {STREAM_SQL},
-places AS (SELECT chunk, timecode, max(pos) AS s FROM source GROUP BY 1, 2),
+ANCHOR_STEPS = """places AS (SELECT chunk, timecode, max(pos) AS s FROM source GROUP BY 1, 2),
 met AS (SELECT o.chunk, s, min(o.pos) AS o FROM output o JOIN places USING (chunk, timecode) GROUP BY 1, 2),
 up AS (SELECT * FROM (SELECT *, lag(s) OVER (PARTITION BY chunk ORDER BY o) AS b FROM met) WHERE b IS NULL OR b < s),
 steps AS (SELECT *, coalesce(lag(s) OVER w, -1) AS ps, coalesce(lag(o) OVER w, -1) AS po FROM (
@@ -100,8 +99,8 @@ placed AS (SELECT chunk, s, max(struct_pack(k := ap, o := o)).o AS o FROM (
   SELECT chunk, o AS ap, s, o FROM steps WHERE anchor UNION ALL
   SELECT chunk, o AS ap, ps + j, po + j FROM (SELECT *, unnest(range(1, CAST(greatest(least(s - ps - 1, o - po - 1), 0) + 1 AS BIGINT))) AS j FROM steps)) GROUP BY 1, 2),
 found AS (SELECT s.chunk, s.pos, s.timecode, coalesce(o.text, '') AS text FROM source s JOIN fine USING (chunk) LEFT JOIN placed p ON p.chunk = s.chunk AND p.s = s.pos LEFT JOIN output o ON o.chunk = s.chunk AND o.pos = p.o),
-idle AS (SELECT f.chunk FROM found f JOIN output p ON f.chunk = p.chunk AND f.pos = p.pos AND f.timecode = p.timecode AND f.text = p.text JOIN nsrc ON nsrc.chunk = f.chunk JOIN nout ON nout.chunk = f.chunk GROUP BY f.chunk, n, m HAVING count(*) = n AND n = m)
-SELECT * FROM found WHERE chunk NOT IN (SELECT chunk FROM idle)"""
+idle AS (SELECT f.chunk FROM found f JOIN output p ON f.chunk = p.chunk AND f.pos = p.pos AND f.timecode = p.timecode AND f.text = p.text JOIN nsrc ON nsrc.chunk = f.chunk JOIN nout ON nout.chunk = f.chunk GROUP BY f.chunk, n, m HAVING count(*) = n AND n = m)"""
+ANCHOR_SQL = f"WITH {STREAM_SQL}, {ANCHOR_STEPS} SELECT * FROM found WHERE chunk NOT IN (SELECT chunk FROM idle)"
 
 
 def assignment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -334,7 +333,7 @@ SELECT s.chunk, s.pos, s.timecode, coalesce(o.text, '') AS text FROM source s JO
 SELECT s.chunk, s.pos, s.timecode, coalesce(map.text, '') AS text FROM source s JOIN nout USING (chunk) LEFT JOIN map ON map.chunk = s.chunk AND map.sp = s.pos""",
     "structural_guard": f"""WITH {STREAM_SQL}, z AS (SELECT s.chunk, CAST(s.pos AS BIGINT) AS pos, s.timecode AS a, o.timecode AS b FROM source s JOIN output o ON s.chunk = o.chunk AND s.pos = o.pos)
 SELECT chunk, pos, 'timecode' AS error FROM z WHERE a <> b UNION ALL SELECT chunk, pos, 'empty' FROM z WHERE pos % 9 = 8 UNION ALL SELECT chunk, -1, 'count' FROM nsrc FULL JOIN nout USING (chunk) WHERE n IS DISTINCT FROM m""",
-    "validation_problems": f"WITH {STREAM_SQL}, {PROBLEMS_SQL} SELECT * FROM problems",
+    "validation_problems": f"WITH {STREAM_SQL}, {problems_sql(1)} SELECT * FROM problems",
     "coalesce_source": """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_returnflag FROM (SELECT *, min(CASE l_returnflag WHEN 'A' THEN 1 WHEN 'R' THEN 2 ELSE 3 END) OVER (PARTITION BY l_orderkey) AS best FROM lineitem)
 WHERE CASE l_returnflag WHEN 'A' THEN 1 WHEN 'R' THEN 2 ELSE 3 END = best""",
     "glossary_hits": f"WITH {HITS_SQL} SELECT DISTINCT * FROM hits",

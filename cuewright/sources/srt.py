@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import timecode as T
@@ -61,10 +61,11 @@ def parse_lenient(documents: DataFrame, key: str = "project_id", document: str =
 
 
 def ranges(documents: DataFrame, key: str = "project_id", document: str = "document") -> DataFrame:
-    """(key, pos, start_ms, end_ms) of every line with an arrow; a bad one raises."""
+    """(key, pos, start_ms, end_ms, nth) of every line with an arrow, nth by start; a bad one raises."""
     lines = documents.select(key, F.posexplode(F.split(document, r"\r?\n")).alias("pos", "line")).where(F.contains("line", F.lit("-->")))
     start = F.coalesce(T.start_ms(F.col("line")), F.raise_error(F.concat(F.lit("not a time range: "), F.col("line"))).cast("bigint"))
-    return lines.select(key, "pos", start.alias("start_ms"), T.end_ms(F.col("line")).alias("end_ms"))
+    found = lines.select(key, "pos", start.alias("start_ms"), T.end_ms(F.col("line")).alias("end_ms"))
+    return found.withColumn("nth", F.row_number().over(Window.partitionBy(key).orderBy("start_ms", "pos")))
 
 
 def serialize(blocks: DataFrame, key: str = "project_id") -> DataFrame:

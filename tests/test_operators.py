@@ -113,6 +113,7 @@ def test_glossary(spark):
 def test_payloads(spark):
     casts = json.dumps({"casts": ["x", "■ Host", "Ann", "Bob", "■", "Cy", " "]})
     got = payloads.cast_rows(spark.createDataFrame([(1, casts)], "key int, raw string"), "key", "raw").collect()
+    assert {r["id"] for r in got} == {f"abema:1:{k}" for k in range(1, 5)}
     assert sorted((r["nth"], r["name"], r["role"]) for r in got) == [(1, "x", None), (2, "Ann", "Host"), (3, "Bob", "Host"), (4, "Cy", None)]
     talents = json.dumps({"talents": [{"id": "1", "name": "n", "genre1": "a", "genre2": "", "genre3": "c"}, {"name": "no id"}]})
     row = payloads.talent_rows(spark.createDataFrame([(talents,)], "raw string"), "raw").collect()

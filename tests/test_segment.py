@@ -1,6 +1,7 @@
 """Scenarios of the segmenter, the text functions and the streams."""
 
 import random
+import time
 
 import pytest
 from cuewright.functions import text as X
@@ -121,7 +122,41 @@ def test_streams(spark, tmp_path):
 
     words = spark.createDataFrame([(1, "a", 0.0, 0.5), (1, "b", 0.6, 1.0), (1, "c", 2.0, 2.5), (2, "x", 0.0, 1.0), (2, "y", 5.0, 6.0)], "project_id bigint, text string, start double, end double")
     words.coalesce(1).write.parquet(f"{tmp_path}/words")
-    out = stream_utterances(spark.readStream.schema(words.schema).parquet(f"{tmp_path}/words"))
-    query = out.writeStream.format("memory").queryName("spoken").outputMode("append").option("checkpointLocation", f"{tmp_path}/c2").trigger(availableNow=True).start()
-    query.awaitTermination()
-    assert {tuple(r) for r in spark.table("spoken").collect()} == {(1, 0.0, 1.0, "a b"), (2, 0.0, 1.0, "x")}
+    out = stream_utterances(spark.readStream.schema(words.schema).parquet(f"{tmp_path}/words"), idle_seconds=1)
+    query = out.writeStream.format("memory").queryName("spoken").outputMode("append").option("checkpointLocation", f"{tmp_path}/c2").trigger(processingTime="500 milliseconds").start()
+    until = time.time() + 90
+    while time.time() < until and spark.table("spoken").count() < 4:
+        time.sleep(0.5)
+    query.stop()
+    assert {tuple(r) for r in spark.table("spoken").collect()} == {(1, 0.0, 1.0, "a b"), (1, 2.0, 2.5, "c"), (2, 0.0, 1.0, "x"), (2, 5.0, 6.0, "y")}
+
+
+def test_turns_and_islands_equal_whole_folds(spark):
+    """Dealing out turns and islands gives what folding a project as a whole does."""
+    from cuewright.operators.segment import resolved, subtitles, utterances
+
+    rng, style, rows = random.Random(6), Style(), []
+    for project in range(12):
+        at = 0.0
+        for k in range(120):
+            at += rng.choice([0.0, 0.0, 0.1, 0.3, 0.75, 1.5]) if rng.random() < 0.4 else 0
+            lasts = rng.choice([0.05, 0.1, 0.3, 0.9])
+            rows.append((project, k, rng.choice(["あ", "い", "を", "。", "、", "かな", "です", "AB", "？う", "！", ""]), round(at, 3), round(at + lasts, 3), rng.choice(["a", "a", "a", "b", None])))
+            at += lasts * rng.choice([1, 1, 0.5])
+    tokens = spark.createDataFrame(rows, "project_id bigint, tok_pos int, text string, start double, end double, speaker_id string")
+    said, shown = sorted(map(tuple, utterances(tokens, style).collect()), key=lambda r: r[:2]), sorted(map(tuple, subtitles(tokens, style).collect()), key=lambda r: r[:2])
+    want_said, want_shown = [], []
+    for project in range(12):
+        items = [{"text": r[2], "start": r[3], "end": r[4], "speaker_id": r[5]} for r in rows if r[0] == project]
+        seg = Segmenter(style)
+        want_said += [(project, k, u.speaker, u.start, u.end, u.text) for k, u in enumerate(seg.utterances(seg.words(items)))]
+        want_shown += [(project, k, b.start, b.end, len(b.parts), seg.text_of(b)) for k, b in enumerate(seg.segmented(items))]
+    assert said == want_said and shown == want_shown and len(shown) < len(said)
+    spans = [(p, k, rng.randint(0, 4000), rng.randint(1, 90)) for p in range(5) for k in range(80)]
+    spans = [(p, k, s, s + n) for p, k, (s, n) in ((p, k, x) for p in range(5) for k, x in enumerate(sorted((s, n) for q, _, s, n in spans if q == p)))]
+    got = sorted(map(tuple, resolved(spark.createDataFrame(spans, "project_id bigint, pos int, start_ms bigint, end_ms bigint"), 20).collect()))
+    want = []
+    for p in range(5):
+        done = Segmenter(Style(least_seconds=20)).separated([Block(s, e) for q, _, s, e in spans if q == p])
+        want += [(p, k, b.start, b.end) for k, b in enumerate(done)]
+    assert got == want
