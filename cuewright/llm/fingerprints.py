@@ -6,7 +6,8 @@ and cut down to randomised sub-lexicons of falling density; each hash is one par
 fingerprint. Terms stand as 64-bit hashes, and sorting is by them.
 
 The band's upper end bounds the lexicon: a term in at least N·e^-HIGH documents is one of at most
-e^HIGH times the mean number of distinct terms of a document, however many documents there are.
+e^HIGH times the mean number of distinct terms of a document, however many documents there are. Up to
+CONSTANT terms it is a constant of the plan; a larger one, which very long documents make, is joined.
 """
 
 from __future__ import annotations
@@ -14,13 +15,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bucket_of, order_buckets, read, splits
+from .common import bucket_of, order_buckets, read, splits, written
 
 #: The band of ln(N / df).
 LOW, HIGH = 1.6, 6.9
 #: Of each sub-lexicon: -log2 of the share of terms it keeps; each reads bits of its own of a term's hash.
 SUBSETS = (0, 2, 2, 2, 4, 4, 4, 4, 4, 4, 5, 5, 5, 5, 5, 5)
 BUCKETS = 1 << 16
+#: Terms of a lexicon that may pass the driver, some 20 bytes each.
+CONSTANT = 1_000_000
 SPLIT = r"[\x00-/:-@\[-`{-\x7F]+"
 
 
@@ -51,10 +54,10 @@ def lookup(spark: SparkSession, words: DataFrame) -> Column:
     return F.from_json(F.lit(spelled_out), "array<array<bigint>>")
 
 
-def fingerprint(found: Column, buckets: Column) -> Column:
+def fingerprint(found: Column, known: Column) -> Column:
     """The parts as an array of hashes, null where no term falls into the sub-lexicon.
 
-    found: hashes of distinct terms. A text without a lexicon term is hashed by all its terms.
+    found: hashes of distinct terms; known: those of the lexicon. A text without a lexicon term is hashed by all its terms.
     """
     def parts(terms_: Column) -> Column:
         out, bit = [], 4  # the lowest bits choose the bucket
@@ -63,9 +66,20 @@ def fingerprint(found: Column, buckets: Column) -> Column:
             bit += bits
         return F.array(*[F.when(F.size(p) > 0, F.xxhash64(F.lit(j), p)) for j, p in out])
 
-    known = bound(found, lambda f: F.array(f, F.filter(f, lambda h: F.array_contains(F.get(buckets, F.pmod(h, F.lit(BUCKETS)).cast("int")), h))))
-    kept = bound(known, lambda k: F.array_sort(F.when(F.size(k[1]) > 0, k[1]).otherwise(k[0])))
-    return bound(kept, parts)
+    return bound(F.array_sort(F.when(F.size(known) > 0, known).otherwise(found)), parts)
+
+
+def with_fingerprint(rows: DataFrame, text: str, out: str, words: DataFrame, table: Column | None) -> DataFrame:
+    """Adds the fingerprint of the text column: terms are looked up in the constant table, or joined with the lexicon."""
+    if table is not None:
+        in_table = lambda h: F.array_contains(F.get(table, F.pmod(h, F.lit(BUCKETS)).cast("int")), h)
+        return rows.withColumn(out, bound(terms(F.col(text)), lambda f: fingerprint(f, F.filter(f, in_table))))
+    numbered = written(rows.withColumn("row number", F.monotonically_increasing_id()), "numbered")  # fixed by the table
+    listed = numbered.select("row number", F.explode(terms(F.col(text))).alias("h")).join(words.withColumn("known", F.lit(True)), "h", "left")
+    both = listed.groupBy("row number").agg(F.collect_list("h").alias("f"), F.collect_list(F.when(F.col("known"), F.col("h"))).alias("k"))
+    none = F.array().cast("array<bigint>")
+    parts = fingerprint(F.coalesce("f", none), F.coalesce("k", none))
+    return numbered.join(both, "row number", "left").withColumn(out, parts).drop("row number", "f", "k")
 
 
 def bound(value: Column, use) -> Column:
@@ -114,7 +128,7 @@ def with_next(rows: DataFrame, key: str, text: str, carried: list[str]) -> DataF
     return led.where(~F.col("guest")).drop("guest")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", low: float = LOW, high: float = HIGH) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", low: float = LOW, high: float = HIGH, constant: int = CONSTANT) -> DataFrame:
     """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of each row.
 
     The edited text has its last quarter replaced by the start of the next text, by ascending (id,
@@ -123,14 +137,15 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("t"))
-    table = lookup(spark, lexicon(texts, "t", low, high))
-    own = texts.select("id", "t", fingerprint(terms(F.col("t")), table).alias("p"))
+    words = written(lexicon(texts, "t", low, high), "lexicon")
+    table = lookup(spark, words) if words.count() <= constant else None
+    own = with_fingerprint(texts, "t", "p", words, table)
     led = with_next(own, "id", "t", ["t", "p"])
     n = F.char_length("t")
     quarter = F.floor(n / 4).cast("int")
     edited = F.concat(F.col("t").substr(F.lit(1), n - quarter), F.col("next_t").substr(F.lit(1), quarter))
     rows = led.select("id", n.cast("bigint").alias("n_chars"), "p", "next_p", edited.alias("e"))
-    rows = rows.select("*", fingerprint(terms(F.col("e")), table).alias("q"))
+    rows = with_fingerprint(rows, "e", "q", words, table)
     return rows.select(
         F.col("id").alias(id_col),
         "n_chars",

@@ -209,12 +209,13 @@ def score_texts(texts: list[str], field: LineField) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> LineField:
     """Fits on at most ``sample`` labelled documents for which learn holds, those of least id hash.
 
-    Null labels and ids don't count; features, not texts, come to the driver.
+    Null labels and ids don't count; of several labels of one id the lowest does. Features, not texts, come to the driver.
     """
     chosen = (
         labels.where(F.col(id_col).isNotNull() & F.col("quality").isNotNull() & learn)
-        .select(F.col(id_col).alias("id"), F.col("quality").cast("int").alias("q"))
-        .orderBy(F.xxhash64("id"), "id", "q")
+        .groupBy(F.col(id_col).alias("id"))
+        .agg(F.min(F.col("quality").cast("int")).alias("q"))
+        .orderBy(F.xxhash64("id"), "id")
         .limit(sample)
     )
 

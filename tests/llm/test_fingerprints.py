@@ -38,8 +38,8 @@ def near(a, b):
     return sum(x == y for x, y in pairs) / len(pairs) if pairs else 1.0
 
 
-@pytest.mark.parametrize("partitions", ["1", "5"])
-def test_equals_brute_force(spark, partitions):
+@pytest.mark.parametrize("partitions, constant", [("1", 10**6), ("5", 10**6), ("5", 0)])
+def test_equals_brute_force(spark, partitions, constant):
     rng = random.Random(2)
     vocabulary = ["w%d" % i for i in range(300)] + ["Ä", "ß"]
     texts = [" ".join(rng.choices(vocabulary, k=rng.randint(0, 60))) for _ in range(150)]
@@ -49,7 +49,7 @@ def test_equals_brute_force(spark, partitions):
     spark.conf.set("spark.sql.shuffle.partitions", partitions)
     try:
         docs = spark.createDataFrame(rows, "doc_id bigint, text string, fingerprint int")
-        got = I.fingerprints(docs, low=1.0, high=4.0).collect()
+        got = I.fingerprints(docs, low=1.0, high=4.0, constant=constant).collect()
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     ordered = sorted((i, t or "") for i, t, _ in rows)

@@ -47,6 +47,8 @@ def test_learns_and_scores(spark):
     assert all((by[i] > 0.5) == bool(i % 2) for i in range(60)) and by[62] > 0.5 and by[60] == by[61]
     again = L.train(docs.repartition(3), labels, F.lit(True), sample=40)
     assert (again.weight == field.weight).all()
+    twice = L.train(docs, labels.unionByName(labels.where("doc_id < 9").withColumn("quality", F.lit(1))), F.lit(True), sample=40)
+    assert (twice.weight == field.weight).all()  # of several labels the lowest counts
     nothing = L.train(docs, labels.limit(0), F.lit(True))
     assert {r["score"] for r in L.line_quality(docs, nothing).collect()} == {0.5}
     assert L.line_quality(docs.limit(0), field).count() == 0
