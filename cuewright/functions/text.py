@@ -51,15 +51,22 @@ def file_name(title: Column) -> Column:
     return F.regexp_replace(stripped(kept), f"[-{WHITE}]+", "_")
 
 
-def folded(text: Column) -> Column:
+_KANA = {c: c - 0x60 for c in range(0x30A1, 0x30F7)} | {ord(c): None for c in STRIPPED}
+
+
+def fold(text: str) -> str:
     """For comparing names: compatibility forms, katakana as hiragana, marks and blanks gone, case folded."""
+    import unicodedata
+
+    return unicodedata.normalize("NFKC", text).translate(_KANA).casefold()
+
+
+def folded(text: Column) -> Column:
+    """fold() as a column."""
+
     @F.pandas_udf("string")
     def compatible(values: pd.Series) -> pd.Series:
-        import unicodedata
-
-        kana = {c: c - 0x60 for c in range(0x30A1, 0x30F7)}
-        kana |= {ord(c): None for c in STRIPPED}
-        return values.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).translate(kana).casefold())
+        return values.map(lambda t: None if t is None else fold(t))
 
     return compatible(text)
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import folded
+from ..functions.text import fold, folded
 
-#: Aliases are broadcast if they number at most so many.
+#: How many aliases an automaton holds.
 SHORT = 100_000
 #: (characters of a gram, grams of a window): aliases as long as a window are looked up by its least gram.
 TIERS = ((8, 9), (3, 1))
@@ -40,36 +42,60 @@ def least_grams(text: Column, n: int, window: int) -> Column:
     return run(text)
 
 
+def scanned(texts: DataFrame, names: list[tuple[int, str]]) -> DataFrame:
+    """(text_id, entry_id) of folded names in folded texts by one automaton: a pass over the texts, whatever the number of names."""
+    kind = dict(texts.dtypes)["text_id"]
+
+    def run(batches: Iterator) -> Iterator:
+        import ahocorasick
+        import pyarrow as pa
+
+        automaton = ahocorasick.Automaton()
+        entries: dict[str, list[int]] = {}
+        for entry, name in names:
+            entries.setdefault(name, []).append(entry)
+        for name, found in entries.items():
+            automaton.add_word(name, found)
+        automaton.make_automaton()
+        for batch in batches:
+            rows, hits = [], []
+            for k, text in enumerate(batch.column(1).to_pylist()):
+                own = set().union(*(found for _, found in automaton.iter(fold(text)))) if text and entries else ()
+                hits += own
+                rows += [k] * len(own)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(hits, pa.int64())], names=["text_id", "entry_id"])
+
+    return texts.select("text_id", "hay").mapInArrow(run, f"text_id {kind}, entry_id bigint")
+
+
 def alias_hits(texts: DataFrame, aliases: DataFrame) -> DataFrame:
     """Distinct (text_id, entry_id) where the folded text contains the folded alias; texts (text_id, hay), aliases (entry_id, alias).
 
     Both are compared as folded() has them, without case, width, kana kind, blanks and marks; aliases of
-    which nothing is left match nothing. An alias meets texts by an equality join on one of its
-    grams and is then looked for. Those too short for that are compared with every text. Aliases are
-    broadcast only up to SHORT.
+    which nothing is left match nothing. Up to SHORT aliases are looked for by one automaton. Of more, those long
+    enough meet texts by an equality join on one of their grams and are then looked for; the others, of which there
+    are but few kinds, are scanned for SHORT at a time.
     """
-    hays = texts.select("text_id", folded(F.col("hay")).alias("hay")).where("hay <> ''")
     names = aliases.select("entry_id", folded(F.col("alias")).alias("alias")).where("alias <> ''").distinct()
+    if names.limit(SHORT + 1).count() <= SHORT:
+        return scanned(texts, [(r["entry_id"], r["alias"]) for r in names.collect()]).distinct()
     found, longer = [], F.lit(False)
     for n, window in TIERS:
         fits = F.length("alias") >= n + window - 1
         some = names.where(fits & ~longer)
         longer = longer | fits
-        few = some.limit(SHORT + 1).count()
-        if few == 0:
-            continue
         wanted = some.withColumn("gram", F.element_at(least_grams(F.col("alias"), n, window), 1))
         spread = texts.select("text_id", folded(F.col("hay")).alias("hay")).select("text_id", F.explode(least_grams(F.col("hay"), n, window)).alias("gram"))
-        met = spread.join(F.broadcast(wanted) if few <= SHORT else wanted, "gram").select("text_id", "entry_id", "alias").distinct()
+        met = spread.join(wanted, "gram").select("text_id", "entry_id", "alias").distinct()
         # only texts that share a gram are folded again: with the alias in it this stays above the join
         both = met.join(texts.select("text_id", F.col("hay").alias("raw")), "text_id").withColumn("hay", folded(F.when(F.length("alias") > 0, F.col("raw"))))
-        found.append(both.where(F.contains("hay", "alias")).select("text_id", "entry_id"))
+        found.append(both.where(F.contains("hay", "alias")).select("text_id", F.col("entry_id").cast("bigint").alias("entry_id")))
     short = names.where(~longer)
-    n = short.limit(SHORT + 1).count()
-    if n:
-        side = F.broadcast(short) if n <= SHORT else short
-        found.append(hays.join(side, F.contains("hay", "alias")).select("text_id", "entry_id"))
-    out = found[0] if found else hays.join(names, F.lit(False)).select("text_id", "entry_id")
+    parts = -(-short.count() // SHORT)
+    for part in range(parts):
+        some = short.where(F.pmod(F.xxhash64("entry_id", "alias"), F.lit(parts)) == part)
+        found.append(scanned(texts, [(r["entry_id"], r["alias"]) for r in some.collect()]))
+    out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
     return out.distinct()

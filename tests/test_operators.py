@@ -79,7 +79,9 @@ def test_chunks(spark, sizes, limit):
         chunking.chunk_numbers(rows, "key", "pos", "size", 0)
 
 
-def test_hits_of_folded_names(spark):
+@pytest.mark.parametrize("most", [100_000, 3])
+def test_hits_of_folded_names(spark, monkeypatch, most):
+    monkeypatch.setattr(glossary, "SHORT", most)
     names = ["ミキ", "ＡＢＣ 放送局", "Grand Blue Fantasy", "・・", None, "", "x", "Straße", "abcdefgh"]
     aliases = spark.createDataFrame(list(enumerate(names)), "entry_id int, alias string")
     hays = ["みきです", "abc放送局。", "ＧＲＡＮＤ・ｂｌｕｅ fan tasy!", "・・", None, "", "X", "in der STRASSE", "abc defg", "ABC DEF GHI"]
