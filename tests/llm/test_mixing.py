@@ -114,3 +114,13 @@ def test_whole_documents_keep_long_ones_and_targets(spark):
         long = sum(times[(s, 1000 + k)] for k in range(16))
         assert abs(long / (16 if s == "b" else 64) - target[s] / size[s]) < 0.1
     assert times[("b", 2000)] == times[("b", 2001)] == 1 and 9 <= times[("a", 3000)] <= 36
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_each_source_meets_its_target(spark, sf):
+    taken, target = Counter(), {}
+    sources = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("doc_id", "source")
+    for r in M.op6_mixing(spark, f"/root/testdata/{sf}").join(sources, "doc_id").collect():
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+    assert len(target) > 2 and all(abs(taken[s] - t) <= max(1, 0.02 * t) for s, t in target.items())
