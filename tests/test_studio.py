@@ -130,3 +130,21 @@ def test_spacer_equals_its_rule_on_the_whole_line():
             break
         line = "".join(rng.choices(["A", "B", "漢", "か", "Two", "Tr", " ", "\t", "b", "C", "，", "1", "x"], k=rng.randint(0, 9)))
         assert space(line) == rule(line), line
+
+
+def test_settings(spark):
+    from cuewright.settings import Settings, lines_of
+
+    told = lines_of("# a remark\nCUEWRIGHT_CHUNK_CHAR_LIMIT=1200\nexport cuewright_enable_srt_refine = 'Yes'\n\nOTHER=1\nCUEWRIGHT_UNKNOWN=2\nCUEWRIGHT_INTRO_SKIP_SECONDS=0.5")
+    found = Settings.read(told)
+    assert (found.chunk_char_limit, found.enable_srt_refine, found.intro_skip_seconds, found.concurrency) == (1200, True, 0.5, 10)
+    assert found.stages_without() == ["glossary_checked", "cover_generated"] and Settings.read({}) == Settings()
+    for bad in ({"CUEWRIGHT_CONCURRENCY": "many"}, {"CUEWRIGHT_ENABLE_SRT_REFINE": "maybe"}):
+        with pytest.raises(ValueError):
+            Settings.read(bad)
+    spark.conf.set("cuewright.missing_block_tolerance", "5")
+    try:
+        assert Settings.of(spark).missing_block_tolerance == 5
+    finally:
+        spark.conf.unset("cuewright.missing_block_tolerance")
+    assert Settings.of(spark) == Settings()
