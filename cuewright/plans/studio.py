@@ -57,7 +57,7 @@ def repair_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.unresolved(source, output, 2, repair.repaired(source, output, 2))
 
 
-FAILURES_SQL = REPAIR_SQL.split("SELECT s.chunk, s.pos")[0] + "SELECT chunk, errors AS error FROM problems JOIN ways USING (chunk) WHERE way = 'mapping' OR way IS NULL"
+FAILURES_SQL = REPAIR_SQL.rsplit("SELECT s.chunk, s.pos", 1)[0] + "SELECT chunk, errors AS error FROM problems JOIN ways USING (chunk) WHERE way = 'mapping' OR way IS NULL"
 
 
 def fix_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
