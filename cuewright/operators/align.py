@@ -78,29 +78,30 @@ def by_anchors(source: DataFrame, output: DataFrame, tolerance: int) -> DataFram
     """
     places = source.groupBy("chunk", "timecode").agg(F.max("pos").alias("s"))
     met = first_of(output.join(places, ["chunk", "timecode"]), ["chunk", "timecode"], "pos").select("chunk", "s", F.col("pos").alias("o"))
-    order = Window.partitionBy("chunk").orderBy("o")
+    order, whole = Window.partitionBy("chunk").orderBy("o"), Window.partitionBy("chunk")
     met = met.withColumn("before", F.lag("s").over(order)).where("before IS NULL OR before < s").drop("before")
-    ends = source.groupBy("chunk").agg(F.count("*").alias("s")).join(output.groupBy("chunk").agg(F.count("*").alias("o")), "chunk").join(met.select("chunk").distinct(), "chunk")
+    ends = source.groupBy("chunk").agg(F.count("*").alias("s")).join(output.groupBy("chunk").agg(F.count("*").alias("o")), "chunk")
     steps = met.withColumn("anchor", F.lit(True)).unionByName(ends.withColumn("anchor", F.lit(False)))
     steps = steps.select("*", F.coalesce(F.lag("s").over(order), F.lit(-1)).alias("ps"), F.coalesce(F.lag("o").over(order), F.lit(-1)).alias("po"))
     gap_s, gap_o = F.col("s") - F.col("ps") - 1, F.col("o") - F.col("po") - 1
-    wide = steps.groupBy("chunk").agg(F.max(F.greatest(gap_s, gap_o)).alias("widest")).where(F.col("widest") <= tolerance).select("chunk")
-    shorter = F.least(gap_s, gap_o)
-    nothing = F.array().cast("array<int>")
-    inner = F.when(shorter >= 1, F.sequence(F.lit(1), shorter.cast("int"))).otherwise(nothing)
-    pairs = steps.join(wide, "chunk", "left_semi").select("chunk", F.col("o").alias("at"), F.explode(inner).alias("j"), "ps", "po")
-    pairs = pairs.select("chunk", "at", (F.col("ps") + F.col("j")).alias("s"), (F.col("po") + F.col("j")).alias("o"))
-    anchors = steps.where("anchor").join(wide, "chunk", "left_semi").select("chunk", F.col("o").alias("at"), "s", "o")
+    steps = steps.withColumn("widest", F.max(F.greatest(gap_s, gap_o)).over(whole)).withColumn("some", F.bool_or("anchor").over(whole))
+    steps = steps.where(F.col("some") & (F.col("widest") <= tolerance))
+    # between two anchors as many as the shorter side has, by order, then the anchor itself
+    shorter = F.least(gap_s, gap_o).cast("int")
+    pair = "struct<s:bigint,o:bigint>"
+    inner = F.when(shorter >= 1, F.transform(F.sequence(F.lit(1), shorter), lambda j: F.struct((F.col("ps") + j).alias("s"), (F.col("po") + j).alias("o")).cast(pair)))
+    own = F.when(F.col("anchor"), F.array(F.struct("s", "o").cast(pair)))
+    none = F.array().cast(f"array<{pair}>")
+    pairs = steps.select("chunk", F.col("o").alias("at"), F.explode(F.concat(F.coalesce(inner, none), F.coalesce(own, none))).alias("p"))
     # of two texts for one source block, which a step back may give, the later interval's stays
-    placed = pairs.unionByName(anchors).groupBy("chunk", "s").agg(F.max(F.struct("at", "o")).alias("m")).select("chunk", F.col("s").alias("pos"), F.col("m.o").alias("o"))
+    placed = pairs.groupBy("chunk", F.col("p.s").alias("pos")).agg(F.max(F.struct("at", "p.o")).alias("m")).select("chunk", "pos", F.col("m.o").alias("o"))
+    # nothing changes where each block already has the timecode of its place
+    alike = source.select("chunk", "pos", "timecode").join(output.select("chunk", "pos", "timecode"), ["chunk", "pos", "timecode"]).groupBy("chunk").agg(F.count("*").alias("same"))
+    idle = alike.join(ends.select("chunk", "s", "o"), "chunk").where("same = s AND same = o")
+    good = steps.where("NOT anchor").select("chunk").join(idle.select("chunk"), "chunk", "left_anti")
     texts = output.select("chunk", F.col("pos").alias("o"), "text")
-    found = source.join(wide, "chunk", "left_semi").join(placed, ["chunk", "pos"], "left").join(texts, ["chunk", "o"], "left")
-    found = found.select("chunk", "pos", "timecode", F.coalesce("text", F.lit("")).alias("text"))
-    same = found.alias("f").join(output.alias("p"), (F.col("f.chunk") == F.col("p.chunk")) & (F.col("f.pos") == F.col("p.pos")) & (F.col("f.timecode") == F.col("p.timecode")) & (F.col("f.text") == F.col("p.text")))
-    unchanged = same.groupBy(F.col("f.chunk").alias("chunk")).agg(F.count("*").alias("same"))
-    counts = source.groupBy("chunk").agg(F.count("*").alias("n")).join(output.groupBy("chunk").agg(F.count("*").alias("m")), "chunk")
-    idle = unchanged.join(counts, "chunk").where("same = n AND n = m").select("chunk")
-    return found.join(idle, "chunk", "left_anti")
+    found = source.join(good, "chunk", "left_semi").join(placed, ["chunk", "pos"], "left").join(texts, ["chunk", "o"], "left")
+    return found.select("chunk", "pos", "timecode", F.coalesce("text", F.lit("")).alias("text"))
 
 
 def mapping_errors(source: DataFrame, output: DataFrame, mapping: DataFrame) -> DataFrame:
