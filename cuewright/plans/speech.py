@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..adapters import conversation_words
+from ..adapters import blocks, conversation_words
 from ..functions.timecode import stamp_seconds
-from ..operators.segment import Style, subtitles
+from ..operators import segment
+from ..operators.segment import Style, subtitles, wrapped
 from ..operators.segment import utterances as spoken
 from ..sources import srt
+from .blocks import B
 
 LATIN = Style(japanese=False, hard=".?!", soft=",;:")
 
@@ -42,6 +44,27 @@ def japanese_srt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subtitles(conversation_words(spark, sf_dir).withColumn("text", F.regexp_replace(kana, "[A-Z]", "A")), Style())
 
 
+def wrapped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks' texts wrapped, however many lines that takes."""
+    return blocks(spark, sf_dir).select("project_id", "pos", wrapped(F.col("text"), LATIN).alias("lines"))
+
+
+def _one_of(chars) -> str:
+    return "[" + "".join(c if c.isalnum() else f"\\x{{{ord(c):X}}}" for c in sorted(chars)) + "]"
+
+
+_UNSAFE = f"^({_one_of(segment.NO_SPACE_BEFORE)}|{_one_of(segment.BOUND_KANA)}|{'|'.join(segment.UNSAFE_STARTS)})"
+_LAST, _NEXT = "rest[i:i]", "rest[i + 1:]"
+_WORTH = f"""CASE WHEN contains('{segment.HARD}', {_LAST}) THEN 40 WHEN contains('{segment.SOFT}', {_LAST}) THEN 30 WHEN contains('{"".join(sorted(segment.BREAK_AFTER))}', {_LAST}) THEN 15 ELSE 0 END
+  - CASE WHEN NOT contains('{segment.HARD}{segment.SOFT}', {_LAST}) AND regexp_matches({_NEXT}, '{_UNSAFE}') THEN 50 ELSE 0 END - CASE WHEN least(i, n - i) <= 3 THEN 30 WHEN least(i, n - i) <= 6 THEN 5 ELSE 0 END
+  - CASE WHEN regexp_matches({_LAST}, '[0-9A-Za-z]') AND regexp_matches({_NEXT}, '^[0-9A-Za-z]') THEN 80 ELSE 0 END - abs(i - n / 2::DOUBLE) / 2"""
+#: A step takes the best break of what is left; ties go to the middle, then to the left.
+WRAP_SQL = B + f""", walk AS (WITH RECURSIVE f AS (SELECT project_id, pos, text AS rest, '' AS done, 0 AS k FROM blocks
+  UNION ALL SELECT project_id, pos, trim(rest[brk + 1:]), done || trim(rest[1:brk]) || chr(10), k + 1 FROM (SELECT *,
+    -list_max(list_transform(range(CASE WHEN n <= 48 THEN greatest(1, n - 24) ELSE 1 END, least(24, n - 1) + 1), lambda i: struct_pack(w := CAST({_WORTH} AS DOUBLE), d := -abs(i - n / 2::DOUBLE), i := -i))).i AS brk
+    FROM (SELECT *, length(rest) AS n FROM f) WHERE n > 24)) SELECT * FROM f)
+SELECT project_id, pos, CASE WHEN rest = '' AND k > 0 THEN left(done, length(done) - 1) ELSE done || rest END AS lines FROM walk WHERE length(rest) <= 24"""
+
 _CLOSERS, _OPENERS = "。、，,.！？?!：:；;）)\\]」』】》〉", "（(\\[「『【《〈"
 
 
@@ -70,5 +93,5 @@ parts AS (SELECT conv_id, g, b, coalesce(lead(b) OVER (PARTITION BY conv_id, g O
 told AS (SELECT conv_id, g, b, role, ss[b] / 1000::DOUBLE AS s, greatest(ee[z] / 1000::DOUBLE, ss[b] / 1000::DOUBLE + 0.35::DOUBLE) AS e, {_joined('t[b:z]')} AS text FROM parts)
 SELECT conv_id AS project_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY g, b) - 1 AS INT) AS pos, role AS speaker_id, s AS start, e AS "end", text FROM told WHERE text <> ''"""
 
-QUERIES = {f.__name__: f for f in (utterances, merge_blocks, overlap_merge, wrap_render, asr_to_srt, japanese_srt)}
-ORACLE = {"utterances": UTTERANCES_SQL}
+QUERIES = {f.__name__: f for f in (utterances, merge_blocks, overlap_merge, wrap_render, asr_to_srt, japanese_srt, wrapped_lines)}
+ORACLE = {"utterances": UTTERANCES_SQL, "wrapped_lines": WRAP_SQL}
