@@ -66,3 +66,26 @@ def test_corners_grow_with_the_image():
     assert len(whole[0]) == 16 * I.CORNERS
     found = [I.consensus(I.describe(image[None, y : y + 120, x : x + 120])[0], whole)[0] for y in range(0, 260, 60) for x in range(0, 260, 60)]
     assert sum(n >= I.INLIERS for n in found) >= 23  # of 25
+
+
+def voted(queries, images, plan):
+    """(query, image) pairs of which VOTES corners agree on a turn, as the tables are read by the search."""
+    table, agreeing = {}, {}
+    for i, found in enumerate(images):
+        for e in I.entries(found, plan).tolist():
+            table.setdefault(e >> 32, []).append((i, e & 255))
+    for q, found in enumerate(queries):
+        for e in I.entries(found, plan, I.PROBES).tolist():
+            for i, angle in table.get(e >> 32, ()):
+                turn = (angle - (e & 255)) % 256
+                for k in (turn // 16, 16 + (turn + 8) % 256 // 16):
+                    agreeing.setdefault((q, i, k), set()).add(e >> 8 & 0xFFFFFF)
+    return {(q, i) for (q, i, _), corners in agreeing.items() if len(corners) >= I.VOTES}
+
+
+def test_tables_select():
+    plan, images = I.layout(), drawn(120, 11)
+    features = [f for at in range(0, 120, 60) for f in I.describe(np.stack(images[at : at + 60]), plan)]
+    asked = [I.describe(np.ascontiguousarray(I.edited(images[k], k % 4))[None], plan)[0] for k in range(40)]
+    pairs = voted(asked, features, plan)
+    assert {(k, k) for k in range(40)} <= pairs and len(pairs) - 40 <= 0.01 * 40 * 119
