@@ -1,8 +1,8 @@
 """Language-model scores from a hierarchical Pitman-Yor model sampled by Gibbs.
 
 Tokens are words and one end a text. A token's context is the token before it, the end for the
-first. Contexts have Chinese restaurants: as many as contexts_for() gives, which grow with the texts, each
-for the words of one hash; so phrases are learnt pair by pair, and rare words share. All restaurants share one parent, whose
+first. Contexts have Chinese restaurants: one for every word that comes before another, however many there are
+(or, unless `whole` is asked for, as many as contexts_for() gives, each for the words of one hash). All restaurants share one parent, whose
 base splits UNKNOWN for the unseen and the rest evenly over the seen words:
 
     p(w | a) = (c_aw - d1 t_aw) / (q1 + C_a) + (q1 + d1 T_a) / (q1 + C_a) · p(w)
@@ -14,10 +14,13 @@ Stirling numbers S_d, in turn for all dishes and both levels; discounts come fro
 Predictive probabilities are averaged over the kept sweeps.
 
 Texts are turned into blocks: per block the distinct (word, context) pairs and, per token, its pair's number,
-which stay in a file of the shared folder. A pair's counts go to the bucket of its word's hash; so all tables of a word meet in one bucket,
-which samples them given totals of the restaurants (a first pass gathers these, two numbers for each
-context), and sends each block the log-probabilities of just its pairs. A word's entries are summed in
-its block first, so a bucket gets one entry for each pair and block however frequent the word is.
+which stay in files of the shared folder. A pair's counts go to the bucket of its word's hash, which reads its range of each
+block's file; so all tables of a word meet in one bucket, which samples them given totals of the restaurants, and sends each
+block the log-probabilities of just its pairs. A word's entries are summed in its block first, so a bucket gets one entry for
+each pair and block however frequent the word is.
+
+The totals, two numbers for each context, are gathered by a first pass: a bucket sends what it knows of the contexts of its
+pairs to shards, ranges of the contexts' hashes, and gets back their sums. Neither a task nor the driver meets all contexts.
 """
 
 from __future__ import annotations
@@ -26,22 +29,23 @@ import math
 import struct
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_folder, read, read_file, write_file, written
+from .common import new_folder, read, read_file, store, write_file, written
 
 UNKNOWN = 0.9
-#: How many context restaurants there are at least and at most: every bucket sends the totals of those it uses, and
-#: their sums pass the driver. A bucket has some 850,000 pairs, so the totals stay the smaller part at any size.
+#: How many context restaurants there are at least and at most where words share them.
 CONTEXTS = 1 << 8, 1 << 18
 STRENGTH = (1.0, 1.0)
 BURN_IN, KEPT = 2, 4
 #: Characters of a block, and of the text whose pairs a bucket gets on average.
 BLOCK_CHARS, BUCKET_CHARS = 12_000_000, 8_000_000
+#: Buckets for each shard of the contexts' totals, whose size so stays the same.
+SHARD_BUCKETS = 8
 #: Counts up to which tables are drawn from their exact conditional.
 EXACT = 256
 END = b" "  # no word has white space
@@ -51,7 +55,7 @@ def squeezed(values: np.ndarray) -> bytes:
     """Compressed byte by byte of the numbers: first bytes first, and so on."""
     import zstandard
 
-    return zstandard.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes(), 1)
+    return zstandard.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes(), 1)
 
 
 def opened(data: bytes, kind: str) -> np.ndarray:
@@ -61,6 +65,15 @@ def opened(data: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
+def squeezed_keys(keys: np.ndarray) -> bytes:
+    """Ascending 64-bit keys, as their steps."""
+    return squeezed(np.diff(keys.astype("<u8"), prepend=np.uint64(0)))
+
+
+def opened_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(opened(data, "<u8"), dtype=np.uint64)
+
+
 def words_of(text: str) -> list[bytes]:
     """Words [^\\x20\\x09-\\x0D]+ with A-Z lower-cased."""
     return text.encode("utf-8", "replace").lower().split()
@@ -119,7 +132,7 @@ def discount_of(ones: float, twos: float) -> float:
 
 @dataclass
 class Totals:
-    """Of all buckets: customers and tables of each context, of the parent, words, and discounts."""
+    """Of all buckets: customers and tables of each context (or, of many contexts together), of the parent, words, and discounts."""
 
     customers: np.ndarray
     tables: np.ndarray
@@ -158,8 +171,15 @@ class Restaurants:
         own = (self.parent - t.d0 * self.parent_tables) / (STRENGTH[0] + t.parent_customers)
         return own + t.new_word() * t.base()
 
-    def sweep(self, t: Totals, s0: np.ndarray, s1: np.ndarray) -> None:
-        weight = (STRENGTH[1] + t.d1 * t.tables[self.context]) * self.parent_p(t)[self.word]
+    def tables_beyond(self, scale: float) -> np.ndarray:
+        """Tables of each dish's context, as far as a bucket of so many can tell: the dish's own, and scale times those of
+        the context's other dishes here. So a context all of whose tables are here counts them once."""
+        here = np.bincount(self.context, self.tables, self.contexts)[self.context]
+        return self.tables + scale * (here - self.tables)
+
+    def sweep(self, t: Totals, s0: np.ndarray, s1: np.ndarray, tables: np.ndarray | None = None) -> None:
+        """Redraws all tables, given totals; tables: those of each dish's context, where t doesn't know them."""
+        weight = (STRENGTH[1] + t.d1 * (t.tables[self.context] if tables is None else tables)) * self.parent_p(t)[self.word]
         self.tables = draw_tables(self.count, weight, t.d1, s1, self.rng)
         self.seat_parent()
         weight = np.full(self.n, (STRENGTH[0] + t.d0 * t.parent_tables) * t.base())
@@ -183,24 +203,32 @@ class _Numbers(dict):
 
 
 def contexts_for(chars: int) -> int:
-    """How many context restaurants for so many characters of text: a power of two, twice their root at least."""
+    """How many context restaurants for so many characters of text, where words share them: a power of two, twice their root at least."""
     least, most = CONTEXTS
     return min(most, max(least, 1 << math.isqrt(4 * chars).bit_length()))
 
 
-def contexts_of(numbers: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, contexts: int) -> np.ndarray:
-    """The restaurant of each token: by the hash of the token before it in its text; number 0, the end, comes before the first."""
+def before_of(numbers: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The token before each in its text; number 0, the end, comes before the first."""
     before = np.concatenate([[0], numbers[:-1]])
     before[np.cumsum(sizes) - sizes] = 0
-    return (hashes[before] >> np.uint64(32)).astype(np.int64) % contexts  # other bits than those of buckets
+    return before
+
+
+def contexts_of(numbers: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, contexts: int) -> np.ndarray:
+    """The shared restaurant of each token: by the hash of the token before it."""
+    return (hashes[before_of(numbers, sizes)] >> np.uint64(32)).astype(np.int64) % contexts  # other bits than those of buckets
 
 
 BLOCKS = "block string, bucket int, data binary, ids array<bigint>, held array<boolean>, sizes array<int>"
 
 
-def blocks(rows: DataFrame, contexts: int, buckets: int) -> DataFrame:
+def blocks(rows: DataFrame, contexts: int | None, buckets: int) -> DataFrame:
     """Rows of two kinds: a block (bucket -1, with the path of its file: the pair number of each token) and its request
-    to each bucket (data: word hashes, contexts and training counts of its pairs)."""
+    to each bucket (data: where in the block's file of pairs their word hashes, contexts and training counts are).
+
+    contexts: how many restaurants words share, None for one a word.
+    """
     folder = new_folder(rows.sparkSession, "block-tokens")
 
     def run(batches: Iterator) -> Iterator:
@@ -215,6 +243,9 @@ def blocks(rows: DataFrame, contexts: int, buckets: int) -> DataFrame:
             data, requests = pairs_of(list(numbers), tokens, held, contexts, buckets)
             path = f"{folder}/{uuid.uuid4().hex}"  # this attempt's own
             write_file(path, data)
+            write_file(f"{path}-pairs", b"".join(d for _, d in requests))
+            at = np.cumsum([0, *(len(d) for _, d in requests)]).tolist()
+            requests = [(b, struct.pack("<2Q", start, len(d))) for (b, d), start in zip(requests, at)]
             row = {"block": path, "bucket": -1, "data": None, "ids": ids, "held": held, "sizes": [len(t) for t in tokens]}
             yield pa.RecordBatch.from_pylist([row], schema)
             yield pa.RecordBatch.from_pylist([{"block": path, "bucket": b, "data": d, "ids": None, "held": None, "sizes": None} for b, d in requests], schema)
@@ -238,16 +269,24 @@ def blocks(rows: DataFrame, contexts: int, buckets: int) -> DataFrame:
     return rows.mapInArrow(run, BLOCKS)
 
 
-def pairs_of(words: list[bytes], tokens: list[np.ndarray], held: list[bool], contexts: int, buckets: int) -> tuple[bytes, list[tuple[int, bytes]]]:
+def pairs_of(words: list[bytes], tokens: list[np.ndarray], held: list[bool], contexts: int | None, buckets: int) -> tuple[bytes, list[tuple[int, bytes]]]:
     from xxhash import xxh3_64_intdigest
 
     hashes = np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
     sizes = np.array([len(t) for t in tokens], np.int64)
     number = np.concatenate(tokens)
-    pair, token = np.unique(number.astype(np.int64) * contexts + contexts_of(number, sizes, hashes, contexts), return_inverse=True)
+    by_hash = np.argsort(hashes)
+    rank_of = np.empty(len(words), np.int64)
+    rank_of[by_hash] = np.arange(len(words))
+    if contexts is None:
+        context, keys = rank_of[before_of(number, sizes)], hashes[by_hash]
+    else:  # as keys over the whole range, for shards
+        context, keys = contexts_of(number, sizes, hashes, contexts), np.arange(contexts, dtype=np.uint64) * np.uint64((1 << 64) // contexts)
+    number, hashes = rank_of[number], hashes[by_hash]
+    pair, token = np.unique(number * len(keys) + context, return_inverse=True)
     train = np.repeat(~np.array(held, bool), sizes)
     count = np.bincount(token[train], minlength=len(pair))
-    word = pair // contexts
+    word = pair // len(keys)
     bucket = (hashes[word] % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     rank = np.empty(len(order), np.uint32)
@@ -257,81 +296,126 @@ def pairs_of(words: list[bytes], tokens: list[np.ndarray], held: list[bool], con
     for low, high in zip(edges[:-1], edges[1:]):
         rows = order[low:high]
         w, per = np.unique(word[rows], return_counts=True)
-        parts = [hashes[w].astype("<u8").tobytes(), *(squeezed(p.astype("<u4")) for p in (per, pair[rows] % contexts, count[rows]))]
-        requests.append((int(bucket[rows[0]]), struct.pack("<4I", *map(len, parts)) + b"".join(parts)))
+        c, place = np.unique(pair[rows] % len(keys), return_inverse=True)
+        parts = [squeezed_keys(hashes[w]), squeezed_keys(keys[c]), *(squeezed(p.astype("<u4")) for p in (per, place, count[rows]))]
+        requests.append((int(bucket[rows[0]]), struct.pack("<5I", *map(len, parts)) + b"".join(parts)))
     return squeezed(rank[token].astype("<u4")), requests
 
 
+def read_requests(table) -> Iterator[bytes]:
+    """A bucket's range of each block's file of pairs; the files of a run lie in one folder."""
+    filesystem, folder = store(table.column("block")[0].as_py().rpartition("/")[0])
+    for block, data in zip(table.column("block").to_pylist(), table.column("data").to_pylist(), strict=True):
+        start, size = struct.unpack("<2Q", data)
+        with filesystem.open_input_file(f"{folder}/{block.rpartition('/')[2]}-pairs") as source:
+            yield source.read_at(size, start)
+
+
 def _opened(data: bytes) -> tuple[np.ndarray, ...]:
-    """(hash of each pair's word, context, count)."""
-    parts, at = [], 16
-    for size in struct.unpack_from("<4I", data):
+    """(hashes of words, keys of contexts, how many pairs each word has, and of each pair: its context's place, count)."""
+    parts, at = [], 20
+    for size in struct.unpack_from("<5I", data):
         parts.append(data[at : at + size])
         at += size
-    per, context, count = (opened(p, "<u4").astype(np.int64) for p in parts[1:])
-    return np.repeat(np.frombuffer(parts[0], "<u8"), per), context, count
-
-
-def _gathered(bucket: int, requests: list[bytes], contexts: int) -> tuple[Restaurants, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[int]]:
-    """(restaurants, and of each requested pair: its number, then of each number: word, context, count; and pairs of each request)."""
-    parts = [_opened(r) for r in requests]
-    hashes, context, count = (np.concatenate([o[k] for o in parts]) for k in range(3))
-    _, word = np.unique(hashes, return_inverse=True)
-    pair, number = np.unique(word.astype(np.int64) * contexts + context, return_inverse=True)
+    return *map(opened_keys, parts[:2]), *(opened(p, "<u4").astype(np.int64) for p in parts[2:])
+
+
+def _gathered(table) -> tuple[Restaurants, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[int], np.ndarray]:
+    """Of a bucket's requests: (restaurants, and of each requested pair: its number, then of each number: word, context,
+    whether it is in training texts; pairs of each request, keys of the contexts in ascending order)."""
+    parts = [_opened(data) for data in read_requests(table)]
+    hashes, keys, per, place, count = (np.concatenate([o[k] for o in parts]) for k in range(5))
+    word = np.repeat(np.unique(hashes, return_inverse=True)[1], per)
+    keys, own = np.unique(keys, return_inverse=True)
+    sizes = [len(o[4]) for o in parts]
+    starts = np.cumsum([0, *(len(o[1]) for o in parts[:-1])])
+    pair, number = np.unique(word * len(keys) + own[place + np.repeat(starts, sizes)], return_inverse=True)
     total = np.bincount(number, count, len(pair)).astype(np.int64)
     seen = total > 0
-    words, dense = np.unique(pair[seen] // contexts, return_inverse=True)
-    rest = Restaurants(dense, pair[seen] % contexts, total[seen], len(words), contexts, bucket)
-    lookup = np.full(int(pair[-1] // contexts) + 1, -1, np.int64)
+    words, dense = np.unique(pair[seen] // len(keys), return_inverse=True)
+    rest = Restaurants(dense, pair[seen] % len(keys), total[seen], len(words), len(keys), table.column("bucket")[0].as_py())
+    lookup = np.full(int(pair[-1] // len(keys)) + 1, -1, np.int64)
     lookup[words] = np.arange(len(words))
-    return rest, number, lookup[pair // contexts], pair % contexts, seen, [len(o[0]) for o in parts]
+    return rest, number, lookup[pair // len(keys)], pair % len(keys), seen, sizes, keys
 
 
-def dealt(requests: DataFrame, buckets: int):
-    """Requests grouped by bucket, in about as many tasks as there are buckets, so that a task's share stays the same at every size."""
-    return requests.repartition(buckets, "bucket").groupBy("bucket")
+def dealt(rows: DataFrame, key: str, groups: int):
+    """Rows grouped by a key, in about as many tasks as there are groups, so that a task's share stays the same at every size."""
+    return rows.repartition(groups, key).groupBy(key)
 
 
-def gather_totals(requests: DataFrame, contexts: int, buckets: int) -> tuple[Totals, int, int]:
-    """(totals, training tokens, training words) by a first sampling pass in every bucket."""
+def context_totals(requests: DataFrame, buckets: int) -> DataFrame:
+    """Of a first sampling pass: (shard, bucket, customers, KEPT times tables) of the contexts that a bucket asks for, in
+    ascending order of their keys; and for each shard a row of sums (bucket -1), with those of the words in the first one's."""
+    shards = -(-buckets // SHARD_BUCKETS)
 
-    def run(table):
+    def sample(table):
         import pyarrow as pa
 
-        rest = _gathered(table.column("bucket")[0].as_py(), table.column("data").to_pylist(), contexts)[0]
-        kept = []
+        rest, *_, keys = _gathered(table)
+        tables, parent, parent_tables = np.zeros(len(keys)), 0.0, 0.0
         for k in range(BURN_IN + KEPT):
             t = rest.totals(buckets)
-            rest.sweep(t, stirling(t.d0), stirling(t.d1))
+            rest.sweep(t, stirling(t.d0), stirling(t.d1), rest.tables_beyond(buckets))
             if k >= BURN_IN:
-                kept.append(rest.totals())
-        mean = lambda name: np.mean([getattr(t, name) for t in kept], axis=0)
-        customers, tables = mean("customers"), mean("tables")
-        used = np.flatnonzero(customers)
-        # contexts, then below 0 sums of two kinds each
-        pairs = [(mean("parent_customers"), mean("parent_tables")), (rest.n, rest.count.sum()), *(((x == 1).sum(), (x == 2).sum()) for x in (rest.count, rest.parent))]
-        names = np.concatenate([used, -1 - np.arange(len(pairs))])
-        first, second = (np.concatenate([known[used], [float(p[k]) for p in pairs]]) for k, known in enumerate((customers, tables)))
-        return pa.table({"name": pa.array(names, pa.int32()), "a": pa.array(first, pa.float64()), "b": pa.array(second, pa.float64())})
-
-    found = dealt(requests, buckets).applyInArrow(run, "name int, a double, b double").groupBy("name").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).collect()
-    sums = {r["name"]: (r["a"], r["b"]) for r in found}  # a row for each context
-    customers, tables = np.zeros(contexts), np.zeros(contexts)
-    for name, (a, b) in sums.items():
-        if name >= 0:
-            customers[name], tables[name] = a, b
-    (parent, parent_tables), (words, tokens), ones, parent_ones = (sums.get(-1 - k, (0.0, 0.0)) for k in range(4))
-    return Totals(customers, tables, parent, parent_tables, words, discount_of(*parent_ones), discount_of(*ones)), int(tokens), int(words)
-
-
-def answers(requests: DataFrame, t: Totals, buckets: int) -> DataFrame:
+                tables += np.bincount(rest.context, rest.tables, len(keys))
+                parent += rest.parent.sum() / KEPT
+                parent_tables += rest.parent_tables.sum() / KEPT
+        ones = [float((x == n).sum()) for x in (rest.parent, rest.count) for n in (1, 2)]
+        sums = [float(rest.count.sum()), float(rest.n), parent, parent_tables, *ones]
+        known = [x.astype("<i8") for x in (np.bincount(rest.context, rest.count, len(keys)), tables)]
+        edges, bucket = np.searchsorted((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32), np.arange(shards + 1)), table.column("bucket")[0]
+        rows = [
+            (n, bucket.as_py(), squeezed_keys(keys[i:j]), *(squeezed(x[i:j]) for x in known), None if n else sums)
+            for n, (i, j) in enumerate(zip(edges[:-1], edges[1:]))
+            if j > i or n == 0
+        ]
+        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.float64()))
+        return pa.table([pa.array(x, kind) for x, kind in zip(zip(*rows), kinds)], ["shard", "bucket", "keys", "customers", "tables", "sums"])
+
+    def add(table):
+        import pyarrow as pa
+
+        keys = [opened_keys(k) for k in table.column("keys").to_pylist()]
+        _, own = np.unique(np.concatenate(keys), return_inverse=True)
+        edges, sent, sums = np.cumsum([0, *map(len, keys)]), [], []
+        for name in ("customers", "tables"):
+            values = np.bincount(own, np.concatenate([opened(d, "<i8") for d in table.column(name).to_pylist()])).astype("<i8")
+            sums.append(float(values.sum()))
+            sent.append([*(squeezed(values[own[i:j]]) for i, j in zip(edges[:-1], edges[1:])), None])
+        known = [x for x in table.column("sums").to_pylist() if x]
+        sums += np.sum(known, axis=0).tolist() if known else []
+        columns = [table.column("shard").to_pylist()[:1] * len(sent[0]), [*table.column("bucket").to_pylist(), -1], *sent, [None] * len(keys) + [sums]]
+        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.float64()))
+        return pa.table([pa.array(x, kind) for x, kind in zip(columns, kinds)], ["shard", "bucket", "customers", "tables", "sums"])
+
+    sampled = dealt(requests, "bucket", buckets).applyInArrow(sample, "shard int, bucket int, keys binary, customers binary, tables binary, sums array<double>")
+    return written(dealt(sampled, "shard", shards).applyInArrow(add, "shard int, bucket int, customers binary, tables binary, sums array<double>"), "totals")
+
+
+def totals_of(table: DataFrame) -> tuple[Totals, int, int]:
+    """(totals, with contexts summed by shard; training tokens, training words) of context_totals()."""
+    found = sorted((r["shard"], r["sums"]) for r in table.where("bucket = -1").select("shard", "sums").collect())
+    customers, tables = (np.array([x[k] for _, x in found]) for k in range(2))
+    tokens, words, parent, parent_tables, *ones = found[0][1][2:] if found else [0.0] * 8
+    return Totals(customers, tables / KEPT, parent, parent_tables, words, discount_of(*ones[:2]), discount_of(*ones[2:])), int(tokens), int(words)
+
+
+def gather_totals(requests: DataFrame, contexts: int | None, buckets: int) -> tuple[Totals, int, int]:
+    """(totals, training tokens, training words) by a first sampling pass in every bucket; whatever the contexts are."""
+    return totals_of(context_totals(requests, buckets))
+
+
+def answers(requests: DataFrame, contexts: DataFrame, totals: Totals, buckets: int) -> DataFrame:
     """(block, bucket, p, c): for each pair of a request its averaged log10 probability and its word's training count."""
 
-    def run(table):
+    def run(table, known_contexts):
         import pyarrow as pa
 
-        bucket = table.column("bucket")[0].as_py()
-        rest, number, word, context, seen, sizes = _gathered(bucket, table.column("data").to_pylist(), len(t.customers))
+        rest, number, word, context, seen, sizes, _ = _gathered(table)
+        order = pa.array(np.argsort(known_contexts.column("shard").to_numpy(), kind="stable"))
+        customers, tables = (np.concatenate([opened(d, "<i8") for d in known_contexts.column(name).take(order).to_pylist()]) for name in ("customers", "tables"))
+        t = replace(totals, customers=customers, tables=tables / KEPT)
         s0, s1 = stirling(t.d0), stirling(t.d1)
         unseen = t.new_word() * UNKNOWN
         own, parent = np.zeros(len(rest.word)), np.zeros(rest.n)
@@ -353,10 +437,10 @@ def answers(requests: DataFrame, t: Totals, buckets: int) -> DataFrame:
             out[0].append(squeezed(log[at : at + n]))
             out[1].append(squeezed(c[at : at + n]))
             at += n
-        blocks_ = table.column("block")
-        return pa.table({"block": blocks_, "bucket": table.column("bucket"), "p": pa.array(out[0], pa.binary()), "c": pa.array(out[1], pa.binary())})
+        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "p": pa.array(out[0], pa.binary()), "c": pa.array(out[1], pa.binary())})
 
-    return dealt(requests, buckets).applyInArrow(run, "block string, bucket int, p binary, c binary")
+    asked = contexts.where("bucket >= 0").select("shard", "bucket", "customers", "tables")
+    return dealt(requests, "bucket", buckets).cogroup(dealt(asked, "bucket", buckets)).applyInArrow(run, "block string, bucket int, p binary, c binary")
 
 
 SCORES = "id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
@@ -391,26 +475,28 @@ def sums_of(blocks_: DataFrame, answered: DataFrame, tokens: int, words: int) ->
     return blocks_.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(run, SCORES)
 
 
-def language_scores(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def language_scores(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row.
 
+    whole: every word has a restaurant of its own for what follows it; else words share contexts_for() of them.
     Learns from the rows for which held is false or null. Null texts are empty and have the end
     token alone; repeated rows each count and are each scored; other columns are left out; with no
     row to learn from every token is unknown; an empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(text_col, F.lit("")).alias("t"), F.coalesce(held, F.lit(False)).alias("held"))
     chars = rows.agg(F.sum(F.length("t").cast("bigint"))).first()[0] or 0
-    contexts, buckets = contexts_for(chars), max(4, -(-chars // BUCKET_CHARS))
-    table = written(blocks(rows, contexts, buckets), "blocks")
+    buckets = max(4, -(-chars // BUCKET_CHARS))
+    table = written(blocks(rows, None if whole else contexts_for(chars), buckets), "blocks")
     requests = table.where("bucket >= 0").select("bucket", "block", "data")
-    totals, tokens, words = gather_totals(requests, contexts, buckets)
-    scored = sums_of(table.where("bucket = -1").select("block", "ids", "held", "sizes"), answers(requests, totals, buckets), tokens, words)
+    contexts = context_totals(requests, buckets)
+    totals, tokens, words = totals_of(contexts)
+    scored = sums_of(table.where("bucket = -1").select("block", "ids", "held", "sizes"), answers(requests, contexts, totals, buckets), tokens, words)
     return scored.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
 
 
 def op9_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
-    return language_scores(read(spark, sf_dir, "documents"), held)
+    return language_scores(read(spark, sf_dir, "documents"), held, whole=True)
 
 
 QUERIES = {"op9_pitman_yor": op9_pitman_yor}

@@ -1,6 +1,8 @@
 import itertools
 import math
 import re
+import struct
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -115,3 +117,98 @@ def test_buckets_agree_with_one(spark):
         table = Y.written(Y.blocks(docs, 256, buckets), "b")
         totals, tokens, words = Y.gather_totals(table.where("bucket >= 0").select("bucket", "block", "data"), 256, buckets)
         assert (tokens, words) == (40 * 31, 41) and totals.customers.sum() == tokens
+
+
+def test_each_word_has_its_own_restaurant(spark, tmp_path):
+    """The query's scores, where every table is certain and a4 and a12 share a restaurant of 256 by hash."""
+    from xxhash import xxh3_64_intdigest
+
+    assert len({(xxh3_64_intdigest(w) >> 32) % 256 for w in (b"a4", b"a12")}) == 1
+    words = ["a%d" % i for i in range(30)]
+    out = [i for i in range(100) if zlib.crc32(b"%d" % i) % 7 == 2]
+    known = next(i for i in range(100) if i not in out)
+    texts = {known: words, out[0]: ["a4", "a5"], out[1]: ["a4", "a13"], out[2]: ["a3", "zz", "a4"], out[3]: []}
+    spark.createDataFrame([(k, " ".join(t)) for k, t in texts.items()], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["score"] for r in Y.op9_pitman_yor(spark, str(tmp_path)).collect()}
+    d, v, chain = 0.95, 31, [" ", *words, " "]
+    follows, back = set(itertools.pairwise(chain)), (1 + d * v) / (1 + v)
+
+    def p(u, w):
+        n = u in chain
+        return ((1 - d) * ((u, w) in follows) + (1 + d * n) * ((1 - d) / (1 + v) + back * 0.1 / v if w in chain else back * 0.9)) / (1 + n)
+
+    for key, text in texts.items():
+        want = sum(math.log10(p(u, w)) for u, w in itertools.pairwise([" ", *text, " "]))
+        assert math.isclose(got[key], want, rel_tol=1e-5), (key, got[key], want)
+
+
+def test_contexts_are_not_bounded():
+    n = Y.CONTEXTS[1] + 1000
+    _, requests = Y.pairs_of([Y.END, *(b"%d" % i for i in range(n))], [np.r_[1 : n + 1, 0]], [False], None, 3)
+    sizes = [struct.unpack_from("<5I", data) for _, data in requests]
+    keys = [Y.opened_keys(data[20 + s[0] : 20 + s[0] + s[1]]) for s, (_, data) in zip(sizes, requests)]
+    assert len(np.unique(np.concatenate(keys))) == n + 1
+
+
+def test_buckets_get_the_totals_of_their_contexts(spark):
+    """Over several blocks, buckets and shards: customers are exact, tables between distinct followers and customers."""
+    from xxhash import xxh3_64_intdigest
+
+    place = lambda w: xxh3_64_intdigest(w.encode())
+    rows = [(i, " ".join("w%d" % (i * j % 97) for j in range(1, 40))) for i in range(120)]
+    follows = Counter((place(u), w) for i, t in rows if i % 3 for u, w in itertools.pairwise([" ", *t.split(), " "]))
+    customers, distinct = Counter(), Counter()
+    for (u, _), n in follows.items():
+        customers[u] += n
+        distinct[u] += 1
+    docs = spark.createDataFrame(rows, "id bigint, t string").repartition(3).withColumn("held", F.col("id") % 3 == 0)
+    buckets = 20
+    table = Y.written(Y.blocks(docs, None, buckets), "b")
+    requests = table.where("bucket >= 0").select("bucket", "block", "data")
+    found = Y.context_totals(requests, buckets)
+    totals, tokens, words = Y.totals_of(found)
+    assert len(totals.customers) == 3 and totals.customers.sum() == tokens == sum(follows.values()) and words == len({w for _, w in follows})
+    assert sum(distinct.values()) <= totals.tables.sum() <= tokens
+    for bucket in range(buckets):
+        asked = requests.where(F.col("bucket") == bucket)
+        if asked.count():
+            keys = Y._gathered(asked.toArrow())[-1].tolist()
+            sent = sorted(found.where(F.col("bucket") == bucket).collect(), key=lambda r: r["shard"])
+            got, tables = (np.concatenate([Y.opened(bytes(r[name]), "<i8") for r in sent]) for name in ("customers", "tables"))
+            assert got.tolist() == [customers[k] for k in keys]
+            assert all(distinct[k] <= t / Y.KEPT <= customers[k] for k, t in zip(keys, tables.tolist(), strict=True))
+
+
+def test_tables_beyond_a_bucket():
+    """A dish counts its own tables once, and the context's other dishes for those in the other buckets."""
+    rest = Y.Restaurants(np.array([0, 1, 2]), np.array([0, 1, 1]), np.array([5, 6, 7]), 3, 2, 1)
+    rest.tables = np.array([3, 1, 2])
+    assert rest.tables_beyond(10).tolist() == [3, 21, 12] and rest.tables_beyond(1).tolist() == [3, 3, 3]
+
+
+def test_scores_agree_with_one_sampler(spark, monkeypatch):
+    """Many buckets given totals score as one process that holds every restaurant and follows its own totals."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join("w%d" % (k % 60) for k in np.cumsum(rng.zipf(1.6, 40) % 60)) for _ in range(300)]
+    chains = [[" ", *t.split(), " "] for t in texts]
+    held = lambda i: i % 4 == 0
+    names = {w: n for n, w in enumerate(sorted({w for i, c in enumerate(chains) if not held(i) for w in c}))}
+    follows = Counter((names[w], names[u]) for i, c in enumerate(chains) if not held(i) for u, w in itertools.pairwise(c))
+    pairs, count = np.array(list(follows)), np.array(list(follows.values()))
+    rest = Y.Restaurants(pairs[:, 0], pairs[:, 1], count, len(names), len(names), 1)
+    mean, sweeps = np.zeros((len(names), len(names))), 60
+    for k in range(10 + sweeps):
+        t = rest.totals()
+        rest.sweep(t, Y.stirling(t.d0), Y.stirling(t.d1))
+        if k >= 10:
+            t = rest.totals()
+            p = np.outer(rest.parent_p(t), t.back_off())
+            p[rest.word, rest.context] += (rest.count - t.d1 * rest.tables) / (Y.STRENGTH[1] + t.customers[rest.context])
+            mean += p / sweeps
+    monkeypatch.setattr(Y, "BUCKET_CHARS", len(" ".join(texts)) // 20)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["score"] for r in Y.language_scores(docs, F.col("doc_id") % 4 == 0, whole=True).collect()}
+    for i, c in enumerate(chains):
+        if all(w in names for w in c):
+            want = np.mean([math.log10(mean[names[w], names[u]]) for u, w in itertools.pairwise(c)])
+            assert abs(got[i] / (len(c) - 1) - want) < 0.03, (i, got[i] / (len(c) - 1), want)
